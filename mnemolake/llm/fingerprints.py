@@ -53,8 +53,9 @@ def sample(term: Column, log_weight: Column, slot: int, r_table: Column, c_table
 def signatures(words: DataFrame, keys: list[str], slots: int = SLOTS) -> DataFrame:
     """keys and s0, s1, ...: the least samples of each key's weighted words (columns term, log_weight)."""
     quantiles = gamma_quantiles(QUANTILES)
-    r_table = literal_array([repr(float(x)) for x in quantiles], "double")
-    c_table = literal_array([repr(float(x)) for x in np.log(quantiles)], "double")
+    # as scalar subqueries the tables stand once beside the plan, not in each of its many expressions
+    spark = words.sparkSession
+    r_table, c_table = (spark.range(1).select(literal_array([repr(float(x)) for x in t], "double").alias("t")).scalar() for t in (quantiles, np.log(quantiles)))
     return words.groupBy(*keys).agg(*(F.min(sample(F.col("term"), F.col("log_weight"), i, r_table, c_table)).alias(f"s{i}") for i in range(slots)))
 
 
