@@ -1,4 +1,4 @@
 """All queries of the memory engine by name, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import analytics, mutations, retrieval  # noqa: F401  (importing them registers their queries)
+from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
