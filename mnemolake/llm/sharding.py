@@ -1,5 +1,5 @@
 """Sharding by sampled splitters: size-weighted samples of the key, quantile boundaries, range partitioning, and overfull
-ranges subdivided.
+ranges subdivided; then the ranges are dealt to the shards by size.
 
 The key of a document is the 64-bit hash of its text, so copies of one text stand side by side and share a shard wherever
 they fit; only copies that overfill a range are cut, by a second hash over doc_id and a row's other columns.
@@ -15,6 +15,8 @@ place. An empty table gives an empty result. Other columns of the input are igno
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +25,7 @@ from .common import literal_array, table
 from .splitters import range_of, sample_boundaries
 
 SHARDS = 40
-#: Ranges for each shard, before subdividing: a shard's size is off by less than one range.
+#: Ranges for each shard, before subdividing.
 FINE = 48
 OVERHEAD = 16
 
@@ -51,12 +53,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, fine: int = FINE, keep: tuple[s
     else:
         rows = rows.withColumn("part", F.lit(0))
     sums = rows.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    # place the middle of each range on the line of all bytes: neighbours share a shard, cut where a shard is full
-    seen, plan, filled = 0, [], [0] * shards
-    for r in sorted(sums, key=lambda r: (r["range"], r.part)):
-        to = min(int((seen + r.bytes / 2) * shards / total), shards - 1)
+    # the largest range goes to the emptiest shard, until all are dealt: sizes end up within one small range of each other
+    plan, filled, heap = [], [0] * shards, [(0, k) for k in range(shards)]
+    for r in sorted(sums, key=lambda r: (-r.bytes, r["range"], r.part)):
+        size, to = heapq.heappop(heap)
         plan.append((r["range"], r.part, to, filled[to]))
-        seen, filled[to] = seen + r.bytes, filled[to] + r.n
+        filled[to] += r.n
+        heapq.heappush(heap, (size + r.bytes, to))
     places = docs.sparkSession.createDataFrame(plan or [(0, 0, 0, 0)], "range int, part int, shard int, first long")
     ordered = Window.partitionBy("range", "part").orderBy("doc_id", "text_crc32", "size")
     return (
