@@ -148,7 +148,7 @@ def _(t):
     return t.memories.where(active() & ((c("type").isin("learning", "gotcha") & (c("importance") >= 7)) | (c("type").isin("decision", "fact") & (c("importance") >= 8)))).select("id")
 
 
-@query("o2_violations", "select id, 'importance' || case when last_accessed is null then ',unaccessed' else '' end as broken from memories where importance > 7")
+@query("o2_violations", "select id, concat_ws(',', case when importance > 7 then 'importance' end, case when last_accessed is null then 'unaccessed' end) as broken from memories where importance > 7 or last_accessed is null")
 def _(t):
     return metrics.violations(t.memories.withColumns({"importance": F.col("importance") + 3, "access_count": F.col("access_count") + 1}))
 

@@ -186,3 +186,39 @@ def test_schemas_parse(spark, ddl):
 def test_search_plan_is_pruned_and_topk(spark):
     plan = catalog.QUERIES["r6_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_settings_and_arguments():
+    from mnemolake.config import Settings, parse_args, parse_bool
+
+    s = Settings.of({"scrub": "off", "allowed_contexts": "a, b,", "dedupe_days": "7", "strict": "YES"})
+    assert (s.scrub, s.allowed_contexts, s.dedupe_days, s.dedupe_similarity, s.strict) == (False, ("a", "b"), 7, 0.92, True)
+    assert parse_bool("maybe", True) and not parse_bool(None, False)
+    assert parse_args(["x", "--a", "1", "--b", "--c=d e"]) == {"a": "1", "b": True, "c": "d e"}
+
+
+def test_sections_and_rules():
+    from mnemolake.operators import topics
+
+    text = topics.replace_section("head", "one", "<s>", "</s>")
+    assert topics.replace_section(text, "two", "<s>", "</s>") == text.replace("one", "two")
+    once = topics.add_rules("", ["Always test first"], "## Rules", "<!-- end -->")
+    assert topics.add_rules(once, ["Always test first", "Never guess"], "## Rules", "<!-- end -->").count("\n- ") == 2
+
+
+def test_store_merges_by_key_and_leaves_noise_out(spark):
+    from mnemolake.operators import ingest
+
+    t = dt.datetime(2024, 3, 1)
+    old = spark.createDataFrame([("m1", "note", "what we know about caches", None, "warm", None, 5, None, t, None, None, ["x"], "pending", None, "k", 3, t, t)], "id string, type string, content string, context string, tier string, agent string, importance int, embedding array<float>, created_at timestamp_ntz, last_accessed timestamp_ntz, superseded_by string, tags array<string>, status string, category string, pattern_key string, recurrence_count int, first_seen timestamp_ntz, last_seen timestamp_ntz")
+    new = old.select(*(F.lit("c1").alias("id") if c == "id" else F.lit("mail me at a@b.org about caches").alias("content") if c == "content" else F.lit(None).cast("int").alias(c) if c == "recurrence_count" else F.col(c) for c in old.columns))
+    noise = new.withColumns({"id": F.lit("c2"), "content": F.lit("ok"), "pattern_key": F.lit(None).cast("string")})
+    got = {r.id: r for r in ingest.store(new.unionByName(noise), old, NOW).collect()}
+    assert got.keys() == {"m1"} and got["m1"].recurrence_count == 4 and "[REDACTED]" in got["m1"].content and "pii:email" in got["m1"].tags
+
+
+def test_schema_evolution(spark):
+    from mnemolake.operators import repair
+
+    out = repair.evolve(spark.createDataFrame([("a", 1)], "id string, extra int"), "id string, n int")
+    assert out.columns == ["id", "n", "extra"] and out.first().n is None
