@@ -9,13 +9,14 @@ from pyspark.sql.window import Window
 from ..functions import rules
 from ..functions.columns import sha_prefix
 
-_ORDER = Window.partitionBy("session_id").orderBy("pos")
+def _order():
+    return Window.partitionBy("session_id").orderBy("pos")
 
 
 def error_fixes(messages: DataFrame, ahead: int = 5) -> DataFrame:
     """session_id, pos, error, fix: a runtime error of a tool or assistant and the first of the next messages that says it is
     fixed. Looks ahead by a bounded frame."""
-    nxt = F.collect_list(F.struct(F.col("pos").alias("p"), F.left("text", F.lit(300)).alias("t"), rules.says_fixed(F.col("text")).alias("ok"))).over(_ORDER.rowsBetween(1, ahead))
+    nxt = F.collect_list(F.struct(F.col("pos").alias("p"), F.left("text", F.lit(300)).alias("t"), rules.says_fixed(F.col("text")).alias("ok"))).over(_order().rowsBetween(1, ahead))
     rows = messages.withColumn("next", nxt)
     fix = F.get(F.filter("next", lambda x: x.ok), F.lit(0))
     bad = F.col("role").isin("tool", "assistant") & rules.runtime_error(F.col("text")) & fix.isNotNull()
@@ -74,7 +75,7 @@ def snapshots(messages: DataFrame) -> DataFrame:
 def transcripts(messages: DataFrame, cap: int = 1500, budget: int = 12000) -> DataFrame:
     """Per session: how many messages, each cut at cap, fit the budget before the first that does not, and their length."""
     size = F.least(F.length("text"), F.lit(cap))
-    rows = messages.select("session_id", "pos", size.alias("size")).withColumn("total", F.sum("size").over(_ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = messages.select("session_id", "pos", size.alias("size")).withColumn("total", F.sum("size").over(_order().rowsBetween(Window.unboundedPreceding, 0)))
     return rows.where(F.col("total") <= budget).groupBy("session_id").agg(F.count("*").alias("messages"), F.max("total").alias("chars"))
 
 

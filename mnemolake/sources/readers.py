@@ -51,18 +51,18 @@ def substantial(rows: DataFrame, least: int = 120) -> DataFrame:
 
 def markdown(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
     """file, agent, text of whole markdown files; the workspace without a suffix belongs to main."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true")
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     name = F.regexp_extract("_metadata.file_path", r"/workspace-?([^/]*)/", 1)
-    return reader.text(root).select(F.col("_metadata.file_path").alias("file"), F.when(name == "", "main").otherwise(name).alias("agent"), F.col("value").alias("text"))
+    return reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.when(name == "", "main").otherwise(name).alias("agent"), F.col("value").alias("text"))
 
 
 def blocks(rows: DataFrame, text: str = "text") -> DataFrame:
     """One row for each second-level heading's block: pos, heading, body."""
     parts = F.filter(F.split(text, r"(?m)^(?=## )"), lambda x: F.startswith(x, F.lit("## ")))
     out = rows.select(*(c for c in rows.columns if c != text), F.posexplode(parts).alias("pos", "block"))
-    return out.select(*(c for c in rows.columns if c != text), "pos", F.trim(F.regexp_extract("block", r"^## ([^\n]*)", 1)).alias("heading"), F.trim(F.regexp_replace("block", r"^## [^\n]*\n?", "")).alias("body"))
+    return out.select(*(c for c in rows.columns if c != text), "pos", F.trim(F.regexp_extract("block", r"^## ([^\n]*)", 1)).alias("heading"), F.regexp_replace(F.regexp_replace("block", r"^## [^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body"))
 
 
 def pack_lines(text: str, size: int = 5000) -> list[str]:

@@ -13,7 +13,8 @@ from mnemolake.operators import advisory, curation, merge, metrics, patterns, re
 from mnemolake.sources import readers
 from mnemolake.streaming import jobs
 
-NOW = F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")
+def now():
+    return F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")
 
 
 def one(spark, column, **values):
@@ -42,7 +43,7 @@ def test_merge_plan_counts_up(spark):
     t = dt.datetime(2024, 1, 1)
     old = spark.createDataFrame([("m1", "k", 3, t, t)], "id string, pattern_key string, recurrence_count int, first_seen timestamp_ntz, last_seen timestamp_ntz")
     new = spark.createDataFrame([("c1", "k", 1, None, None), ("c2", "other", None, None, None)], "cand_id string, pattern_key string, recurrence_count int, first_seen timestamp_ntz, last_seen timestamp_ntz")
-    got = {r.cand_id: r for r in merge.merge_plan(new, old, NOW).collect()}
+    got = {r.cand_id: r for r in merge.merge_plan(new, old, now()).collect()}
     assert (got["c1"].final_id, got["c1"].final_recurrence, got["c1"].final_first) == ("m1", 4, t)
     assert (got["c2"].found, got["c2"].final_recurrence) == (False, 1)
 
@@ -166,12 +167,12 @@ def test_quality_counts_missing_files(spark):
     t = dt.datetime(2024, 3, 1)
     m = spark.createDataFrame([("1", "see /a/b and /c/d " + "x" * 100, t, t, 6, 5, "warm", 1, None)], "id string, content string, created_at timestamp_ntz, last_accessed timestamp_ntz, access_count int, importance int, tier string, recurrence_count int, superseded_by string")
     known = spark.createDataFrame([("/a/b",)], "path string")
-    assert curation.quality(m, NOW).first().score - curation.quality(m, NOW, known).first().score == 0.5
+    assert curation.quality(m, now()).first().score - curation.quality(m, now(), known).first().score == 0.5
 
 
 def test_doctor_on_empty(spark):
     empty = spark.createDataFrame([], schemas.MEMORIES)
-    assert {r.status for r in metrics.doctor(empty, NOW).collect()} == {"pass"}
+    assert {r.status for r in metrics.doctor(empty, now()).collect()} == {"pass"}
 
 
 def test_every_oracle_has_a_query():
@@ -213,7 +214,7 @@ def test_store_merges_by_key_and_leaves_noise_out(spark):
     old = spark.createDataFrame([("m1", "note", "what we know about caches", None, "warm", None, 5, None, t, None, None, ["x"], "pending", None, "k", 3, t, t)], "id string, type string, content string, context string, tier string, agent string, importance int, embedding array<float>, created_at timestamp_ntz, last_accessed timestamp_ntz, superseded_by string, tags array<string>, status string, category string, pattern_key string, recurrence_count int, first_seen timestamp_ntz, last_seen timestamp_ntz")
     new = old.select(*(F.lit("c1").alias("id") if c == "id" else F.lit("mail me at a@b.org about caches").alias("content") if c == "content" else F.lit(None).cast("int").alias(c) if c == "recurrence_count" else F.col(c) for c in old.columns))
     noise = new.withColumns({"id": F.lit("c2"), "content": F.lit("ok"), "pattern_key": F.lit(None).cast("string")})
-    got = {r.id: r for r in ingest.store(new.unionByName(noise), old, NOW).collect()}
+    got = {r.id: r for r in ingest.store(new.unionByName(noise), old, now()).collect()}
     assert got.keys() == {"m1"} and got["m1"].recurrence_count == 4 and "[REDACTED]" in got["m1"].content and "pii:email" in got["m1"].tags
 
 
