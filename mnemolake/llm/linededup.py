@@ -9,8 +9,9 @@ meet at equal variants: two variants with the deletion at the same place are a c
 line is a word put in. At each key only the earliest is looked up, never pairs of all members: of lines that meet at one
 deletion, each is near each. The edit distance to that earliest line is then verified on the words themselves.
 
-Two steps keep this small. Equal lines become one first. And of two near lines, the first or the last floor(n / 2) words are
-the same (n: words of the shorter): only lines that share such a half with another line emit variants.
+Two steps keep this small. Equal lines (by 128 bits of hash of their words) become one first. And of two near lines, the
+first or the last floor(n / 2) words are the same (n: words of the shorter): only lines that share such a half with another
+line fetch their words and emit variants. Until then only hashes are shuffled.
 
 Rows that repeat both doc_id and text count as one document and get one result each. Nulls: a null text has no line and
 stays null; a null doc_id comes first. An empty table gives an empty result; other columns are kept as they are.
@@ -27,12 +28,7 @@ MIN_WORDS = 8
 
 
 def _words(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
-
-
-def _place(hashes: Column) -> Column:
-    """Each word's hash mixed with its place."""
-    return F.transform(hashes, lambda h, k: F.xxhash64(h, k))
+    return F.filter(F.split(line, r"\s+"), lambda w: w != "")
 
 
 def _xor(hashes: Column) -> Column:
@@ -66,23 +62,27 @@ def _variants(h: Column, n: Column) -> Column:
     return F.concat(whole, changed, shorter)
 
 
-def different_lines(docs: DataFrame) -> DataFrame:
-    """at (struct of doc_id, text_hash, pos: the earliest occurrence), h (hashes of words) and line, for each different line
-    that is not blank."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """A compact row for each line that is not blank: at (doc_id, text_hash, pos), 128 bits of hash of its words, and the
+    hashes of its halves (none for lines of fewer than MIN_WORDS words). No text."""
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    rows = rows.select(F.struct("doc_id", "text_hash", "pos").alias("at"), F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("line")).where("line <> ''")
-    return rows.groupBy("line").agg(F.min("at").alias("at"))
-
-
-def near_earlier(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """at of each line (at, line) that is near an earlier line."""
+    rows = rows.select("doc_id", "text_hash", "pos", _words(F.col("raw")).alias("w")).where(F.size("w") > 0)
+    rows = rows.select("doc_id", "text_hash", "pos", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(7), "w").alias("b"), F.when(F.size("w") >= MIN_WORDS, F.transform("w", lambda x: F.xxhash64(x))).alias("h"))
+    return rows.select(F.struct("doc_id", "text_hash", "pos").alias("at"), "a", "b", F.when(F.col("h").isNotNull(), _halves(F.col("h"), F.size("h"))).alias("halves"))
+
+
+def near_earlier(docs: DataFrame, seen: DataFrame, firsts: DataFrame) -> DataFrame:
+    """at of each different line (its first occurrence, in firsts) that is near an earlier line."""
+    halves = seen.select("a", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("half")
+    some = halves.join(shared, "half").select("a").distinct()
+    wanted = firsts.join(some, "a", "left_semi").select("at.*").groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("wanted"))
+    texts = _with(docs, wanted, "inner")
+    few = texts.select("of_id", "text_hash", F.explode("wanted").alias("pos"), F.split("text", "\n").alias("all"))
+    few = few.select(F.struct(F.col("of_id").alias("doc_id"), "text_hash", "pos").alias("at"), _words(F.get("all", F.col("pos"))).alias("w"))
+    few = staged(few, "lines")
     n = F.size("h")
-    rows = lines.select("at", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("h")).where(n >= min_words)
-    halves = rows.select("at", F.explode(_halves(F.col("h"), n)).alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    some = halves.join(shared, "half").select("at").distinct()
-    few = staged(lines.join(some, "at", "left_semi").select("at", "line"), "lines")
-    words = few.select("at", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("h"))
+    words = few.select("at", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     mixed = words.withColumns({"here": F.transform("h", lambda h, k: F.xxhash64(h, k)), "left": F.transform("h", lambda h, k: F.xxhash64(h, k - 1))})
     mixed = mixed.withColumns({"total": _xor(F.col("here")), "left_total": _xor(F.col("left"))})
     keys = mixed.select("at", F.explode(_variants(F.col("h"), n)).alias("v")).select("at", "v.key", "v.place")
@@ -91,10 +91,16 @@ def near_earlier(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     met = keys.join(first, "key")
     # a changed word meets changed words; a word taken out meets the whole line, and the whole line meets those
     earliest = F.when(F.col("place") >= 0, F.col("part_at")).when(whole, F.col("part_at")).otherwise(F.col("whole_at"))
-    pairs = met.select("at", "place", earliest.alias("other")).where("other < at").distinct()
-    text = few.select("at", "line")
-    joined = pairs.join(text, "at").join(text.select(F.col("at").alias("other"), F.col("line").alias("other_line")), "other")
-    return joined.where(_one_edit(F.split("line", " "), F.split("other_line", " "))).select("at").distinct()
+    pairs = met.select("at", earliest.alias("other")).where("other < at").distinct()
+    joined = pairs.join(few, "at").join(few.select(F.col("at").alias("other"), F.col("w").alias("v")), "other")
+    return joined.where(_one_edit(F.col("w"), F.col("v"))).select("at").distinct()
+
+
+def _with(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs joined with found (doc_id, text_hash, more) by both; found's id is called of_id."""
+    found = found.withColumnRenamed("doc_id", "of_id")
+    rows = docs.withColumn("hash_of_row", F.xxhash64("text"))
+    return rows.join(found, rows.doc_id.cast("long").eqNullSafe(found.of_id) & (F.col("hash_of_row") == F.col("text_hash")), how)
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -108,17 +114,15 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (rest_a == rest_b) | (rest_a == from_b) | (from_a == rest_b)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, more) with text less its repeated and near-repeated lines, and n_lines, n_kept (blank ones
     included in both)."""
-    lines = staged(different_lines(docs), "different_lines")
-    gone = near_earlier(lines, min_words)
-    kept = lines.select("at").join(gone, "at", "left_anti").select("at.*").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
-    kept = kept.select(F.col("doc_id").alias("kept_id"), "text_hash", "kept")
-    rows = docs.withColumn("text_hash_of_row", F.xxhash64("text"))
-    joined = rows.join(kept, rows.doc_id.cast("long").eqNullSafe(kept.kept_id) & (F.col("text_hash_of_row") == F.col("text_hash")), "left")
-    stays = F.filter(F.split("text", "\n"), lambda x, k: (F.trim(F.regexp_replace(x, r"\s+", " ")) == "") | F.coalesce(F.array_contains("kept", k), F.lit(False)))
-    out = joined.withColumn("stays", stays)
+    seen = staged(occurrences(docs), "occurrences")
+    firsts = seen.groupBy("a", "b").agg(F.min("at").alias("at"))
+    gone = near_earlier(docs, seen, firsts)
+    kept = firsts.select("at").join(gone, "at", "left_anti").select("at.*").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
+    stays = F.filter(F.split("text", "\n"), lambda x, k: F.coalesce(F.array_contains("kept", k), F.lit(False)) | (F.size(_words(x)) == 0))
+    out = _with(docs, kept, "left").withColumn("stays", stays)
     return out.select(*(F.array_join("stays", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"), F.coalesce(F.size("stays"), F.lit(0)).alias("n_kept"))
 
 
@@ -126,3 +130,20 @@ def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_kept").cast("long").alias("n_kept"), F.char_length(kept).cast("long").alias("kept_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+with t as (select doc_id, text, string_split(text, chr(10)) as ls from documents where text is not null),
+p as (select doc_id, ls, unnest(range(1, len(ls) + 1)) as pos from t),
+w as (select doc_id, pos, ls[pos] as line, list_filter(regexp_split_to_array(ls[pos], '\s+'), lambda x: x <> '') as w, doc_id * 1000000 + pos as o from p),
+k as (select *, array_to_string(w, ' ') as key, len(w) as n from w),
+d as (select key, min(o) as o, any_value(w) as w, any_value(n) as n from k where n > 0 group by key),
+v as (select key, o, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:n]), ' ') as rest from (select *, unnest(range(1, n + 1)) as i from d where n >= 8)),
+changed as (select o from (select o, min(o) over (partition by n, i, rest) as first from v) where first < o),
+pairs as (select v.o as longer, d.o as shorter from v join d on d.key = v.rest where d.n >= 8),
+gone as (select o from changed union select longer from pairs where shorter < longer union select shorter from pairs where longer < shorter),
+kept as (select k.doc_id, k.pos, k.line from k left join d on d.o = k.o left join gone on gone.o = k.o where k.n = 0 or (d.o is not null and gone.o is null)),
+texts as (select doc_id, string_agg(line, chr(10) order by pos) as text, count(*) as n from kept group by doc_id)
+select x.doc_id, coalesce(len(t.ls), 0) as n_lines, coalesce(texts.n, 0) as n_kept, length(coalesce(texts.text, '')) as kept_chars, sha256(coalesce(texts.text, '')) as kept_sha256
+from documents x left join t on t.doc_id = x.doc_id left join texts on texts.doc_id = x.doc_id
+"""

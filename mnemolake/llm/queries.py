@@ -11,4 +11,4 @@ QUERIES = {
         bpe.op6_bpe, packing.op7_packing, classify.op8_toxicity, simhash.op9_simhash, sharding.op10_sharding,
     )
 }
-ORACLE_SQL = {"op1_chat": chat.OP1_SQL, "op5_topk": topk.OP5_SQL}
+ORACLE_SQL = {"op1_chat": chat.OP1_SQL, "op2_linededup": linededup.OP2_SQL, "op5_topk": topk.OP5_SQL}
