@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import literal_array, table
+from .common import table
 from .splitters import range_of, sample_boundaries
 
 SLOTS, QUANTILES = 64, 2048
@@ -50,12 +50,16 @@ def sample(term: Column, log_weight: Column, slot: int, r_table: Column, c_table
     return log_c - r * (F.floor(log_weight / r + b).cast("double") + F.lit(1.0) - b)
 
 
+def _field(name: str):
+    return lambda x: x.getField(name)
+
+
 def signatures(words: DataFrame, keys: list[str], slots: int = SLOTS) -> DataFrame:
     """keys and s0, s1, ...: the least samples of each key's weighted words (columns term, log_weight)."""
     quantiles = gamma_quantiles(QUANTILES)
-    # as scalar subqueries the tables stand once beside the plan, not in each of its many expressions
-    spark = words.sparkSession
-    r_table, c_table = (spark.range(1).select(literal_array([repr(float(x)) for x in t], "double").alias("t")).scalar() for t in (quantiles, np.log(quantiles)))
+    # as scalar subqueries over a small table: neither plans nor expressions spell the values out
+    steps = words.sparkSession.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(quantiles, np.log(quantiles), strict=True))], "i int, r double, c double")
+    r_table, c_table = (steps.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", n))), _field(n)).alias("t")).scalar() for n in "rc")
     return words.groupBy(*keys).agg(*(F.min(sample(F.col("term"), F.col("log_weight"), i, r_table, c_table)).alias(f"s{i}") for i in range(slots)))
 
 

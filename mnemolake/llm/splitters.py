@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import literal_array
 
+#: The most cells of the look-up table.
 CELLS = 4096
 
 
@@ -43,10 +44,10 @@ def range_of(key: Column, boundaries: list[int]) -> Column:
     comparing; only those within the key's own cell are compared, so the cost does not grow with their number."""
     if not boundaries:
         return F.lit(0)
-    low, high = boundaries[0], boundaries[-1]
-    width = (high - low) // CELLS + 1
+    low, high, cells = boundaries[0], boundaries[-1], min(CELLS, 2 * len(boundaries))
+    width = (high - low) // cells + 1
     first, count, at = [], [], 0
-    for c in range(CELLS):
+    for c in range(cells):
         first.append(at)
         start = at
         while at < len(boundaries) and boundaries[at] < low + (c + 1) * width:
@@ -54,11 +55,11 @@ def range_of(key: Column, boundaries: list[int]) -> Column:
         count.append(at - start)
     # decimals are not needed: the distance to low is taken in halves, which cannot overflow
     half = F.shiftright(key, 1) - F.lit(low >> 1)
-    cell = F.greatest(F.lit(0.0), F.least(F.lit(CELLS - 1.0), half / F.lit(max(width / 2, 0.5)))).cast("int")
+    cell = F.greatest(F.lit(0.0), F.least(F.lit(cells - 1.0), half / F.lit(max(width / 2, 0.5)))).cast("int")
     # rounding may put a key one cell off: compare from the cell before to the cell after
     before = F.greatest(cell - 1, F.lit(0))
     start = F.get(literal_array(first, "int"), before)
-    stop_cell = F.least(cell + 1, F.lit(CELLS - 1))
+    stop_cell = F.least(cell + 1, F.lit(cells - 1))
     stop = F.get(literal_array([f + n for f, n in zip(first, count)], "int"), stop_cell)
     near = F.slice(literal_array(boundaries, "bigint"), start + 1, stop - start)
     return start + F.size(F.filter(near, lambda b: b <= key))
