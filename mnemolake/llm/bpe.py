@@ -1,7 +1,7 @@
 """Byte-level BPE by dynamic programming over prefixes.
 
-For each prefix of a piece exactly one token can end its encoding. An Aho-Corasick automaton over the vocabulary gives, at
-every position, the tokens that end there; a token fits if the tokens before it, already known for the shorter prefix, end
+For each prefix of a piece exactly one token can end its encoding. A suffix automaton over the vocabulary gives, at every
+position, the tokens that end there; a token fits if the tokens before it, already known for the shorter prefix, end
 with one that keeps the boundary when the two are encoded together. Following the back-pointers yields the exact ids, in
 time linear in the piece, without merging anything.
 
@@ -13,6 +13,7 @@ the automaton. Each worker remembers the ids of recent pieces, a bounded number
 from __future__ import annotations
 
 import array
+import functools
 import hashlib
 import json
 import re
@@ -31,6 +32,10 @@ PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]
 REMEMBERED = 400_000
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def byte_letters() -> dict[str, int]:
     """Byte-level vocabularies write printable bytes as themselves and the others as the code points from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,18 +43,89 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class SuffixAutomaton:
+    """Of a set of tokens: after reading a text, which tokens it ends in, the longest first. States are the tokens' prefixes;
+    where a state cannot be prolonged, the longest suffix of it that is a state goes on (Aho and Corasick 1975). Moves found
+    that way are remembered, a bounded number of them."""
+
+    def __init__(self, tokens: dict[int, str]):
+        self.next: dict[tuple[int, str], int] = {}
+        own = [-1]
+        order: list[list[tuple[int, str, int]]] = []  # by depth: parent, character, state
+        for token, text in tokens.items():
+            state = 0
+            for depth, c in enumerate(text):
+                if (to := self.next.get((state, c))) is None:
+                    to = self.next[state, c] = len(own)
+                    own.append(-1)
+                    if depth == len(order):
+                        order.append([])
+                    order[depth].append((state, c, to))
+                state = to
+            own[state] = token
+        size = max(tokens, default=0) + 1
+        self.length, self.shorter = [0] * (size + 1), [-1] * (size + 1)
+        for token, text in tokens.items():
+            self.length[token] = len(text)
+        self.fall, longest = [0] * len(own), list(own)
+        for level in order:
+            for parent, c, state in level:
+                back = self.fall[parent]
+                while parent and back and (back, c) not in self.next:
+                    back = self.fall[back]
+                self.fall[state] = back = self.next.get((back, c), 0) if parent else 0
+                if own[state] >= 0:
+                    self.shorter[own[state]] = longest[back]
+                else:
+                    longest[state] = longest[back]
+        self.longest = longest
+        #: (state, character): next state, longest token that the text then ends in
+        self.moves = {k: (to, longest[to]) for k, to in self.next.items()}
+
+    def move(self, state: int, c: str) -> tuple[int, int]:
+        back = state
+        while back and (back, c) not in self.next:
+            back = self.fall[back]
+        if len(self.moves) > len(self.next) + REMEMBERED:
+            self.moves.clear()
+        to = self.next.get((back, c), 0)
+        self.moves[state, c] = out = to, self.longest[to]
+        return out
+
+
+class Remembered(dict):
+    """What make gives for each key, for the most recently used keys: when `most` are held, the older half waits to be asked
+    for again, and is then dropped."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most // 2, {}
+
+    def __missing__(self, key):
+        got = self.old.pop(key, None)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class PrefixBpe:
     """Encodes and decodes as the tokenizers library does with the same file, without its truncation or padding."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, model = byte_letters(), spec["model"]
-        self.bytes_of = {i: bytes(letters[c] for c in word) for word, i in model["vocab"].items()}
+        # a word's last byte carries the end mark, if the vocabulary has one: it is then a symbol of its own, 256 above
+        self.mark = model.get("end_of_word_suffix") or ""
+        symbols = {i: self._symbols(word, letters) for word, i in model["vocab"].items()}
+        self.bytes_of = {i: bytes(ord(c) & 255 for c in x) for i, x in symbols.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ids = model["vocab"]
         self.merged: dict[tuple[int, int], int] = {}
@@ -59,20 +135,21 @@ class PrefixBpe:
             a, b, made = ids[left], ids[right], ids[left + right]
             self.merged[a, b] = rank
             self.parts.setdefault(made, (rank, a, b))
-        self.automaton = ahocorasick.Automaton()
-        for i, data in self.bytes_of.items():
-            if len(data) == 1 or i in self.parts:
-                self.automaton.add_word(data.decode("latin-1"), (i, len(data)))
-        self.automaton.make_automaton()
+        self.suffixes = SuffixAutomaton({i: x for i, x in symbols.items() if len(x) == 1 or i in self.parts})
         self.find = re.compile(PLAIN_PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.splitter = Tokenizer.from_file(path).pre_tokenizer
         self.letters = letters
-        self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.known = Remembered(lambda p: pack_ids(self.piece(p.encode())), REMEMBERED)
+        self.pairs: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self.all_bytes = {**self.bytes_of, **{i: s.encode() for s, i in self.special.items()}}
 
+    def _symbols(self, word: str, letters: dict[str, int]) -> str:
+        ends = self.mark and word.endswith(self.mark) and word != self.mark
+        codes = [letters[c] for c in (word[: -len(self.mark)] if ends else word)]
+        return "".join(map(chr, codes[:-1])) + chr(codes[-1] + 256 * bool(ends)) if codes else ""
+
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The pieces that stand at a token's left (0) or right (1) edge while it is merged, smallest first, each with the
         rank of the merge that ends it."""
@@ -90,7 +167,7 @@ class PrefixBpe:
     def fits(self, first: int, second: int) -> bool:
         """Whether encoding both tokens' bytes together gives the two tokens back: no merge may cross the boundary while
         the pieces at its two sides stand. Merges run by rank, and of equal ones the leftmost first."""
-        pair = first, second
+        pair = first << 20 | second
         if (known := self.pairs.get(pair)) is None:
             if len(self.pairs) > 2 * REMEMBERED:
                 self.pairs.clear()
@@ -108,17 +185,25 @@ class PrefixBpe:
         return known
 
     def piece(self, data: bytes) -> list[int]:
-        """The ids of one piece."""
-        last: list[int] = [-1] * (len(data) + 1)  # the unique last token of each prefix
-        size = [0] * (len(data) + 1)
-        for end, (token, length) in self.automaton.iter(data.decode("latin-1")):
-            end += 1
-            if last[end] < 0 and ((start := end - length) == 0 or (before := last[start]) >= 0 and self.fits(before, token)):
-                last[end], size[end] = token, length
+        """The ids of one piece, not empty."""
+        text = data.decode("latin-1")
+        if self.mark:
+            text = text[:-1] + chr(256 + data[-1])
+        moves, shorter, length, fitting = self.suffixes.moves.get, self.suffixes.shorter, self.suffixes.length, self.pairs.get
+        last, state = [-1], 0  # the unique last token of each prefix
+        for end, c in enumerate(text, 1):
+            state, token = moves((state, c)) or self.suffixes.move(state, c)
+            while (start := end - length[token]) > 0:
+                if (before := last[start]) >= 0:
+                    fit = fitting(before << 20 | token)
+                    if self.fits(before, token) if fit is None else fit:
+                        break
+                token = shorter[token]
+            last.append(token)
         out, at = [], len(data)
         while at:
             out.append(last[at])
-            at -= size[at]
+            at -= length[last[at]]
         out.reverse()
         return out
 
@@ -132,24 +217,19 @@ class PrefixBpe:
         if self.cut and any(s in text for s in self.special):
             parts = self.cut(text)
             return b"".join(struct.pack("<I", self.special[x]) if i % 2 else self.encode(x) for i, x in enumerate(parts) if x)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        pieces = self._plain(text)
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            for p in pieces:
-                if p not in known:
-                    ids = self.piece(p.encode())
-                    known[p] = struct.pack(f"<{len(ids)}I", *ids)
-            return b"".join(map(known.__getitem__, pieces))
+        return b"".join(map(self.known.__getitem__, self._plain(text)))
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids, special ones included; bytes that are no UTF-8 become replacement characters."""
         return b"".join(map(self.all_bytes.__getitem__, array.array("I", ids))).decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=1)
+def prefix_bpe(path: str) -> PrefixBpe:
+    """One for each worker, not for each task: its tables, and what it remembers, serve the tasks that follow."""
+    return PrefixBpe(path)
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -161,7 +241,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = PrefixBpe(path)
+        bpe = prefix_bpe(path)
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)

@@ -12,6 +12,7 @@ from counts by (length, salt), so a length that a third of all pieces share is s
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import re
 import zlib
@@ -23,19 +24,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe import PrefixBpe, Remembered, pack_ids
 from .common import staged, table
 
 MAX_LEN = 2048
 END_ID = 0
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Characters on whose classes, case and composition all Unicode versions agree.
 PLAIN = re.compile("[\t\n\r -~¡-ÿ–—‘-”…]*")
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t\n\r "
 
 
 class WordTokens:
-    """The ids that the tokenizers library gives for the file: words are cut by its pattern, and each different word is
-    encoded by the library once and remembered, within a bound. Other texts go through the library whole."""
+    """The ids that the tokenizers library gives for the file. No word spans white space, so a text is cut there first; each
+    different chunk is cut into words by the file's pattern, and each different word encoded by prefixes (see bpe). Recent
+    chunks and words are remembered, within a bound. Texts of other characters go through the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,24 +48,22 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.words = PrefixBpe(path)
         self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+").findall
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(lambda w: pack_ids(self.words.piece(w.encode())), REMEMBERED)
+        self.chunks = Remembered(lambda x: b"".join(map(self.known.__getitem__, self.find(x))), REMEMBERED)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        words = self.find(text.lower())
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+
+
+@functools.lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker, not for each task: its tables, and what it remembers, serve the tasks that follow."""
+    return WordTokens(path)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -72,7 +73,7 @@ def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END
     """Cuts docs (doc_id, text) into pieces of at most max_len ids; a null text counts as empty and has the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end, names = WordTokens(path), np.array([end_id], "<u4").tobytes(), [c.split()[0] for c in PIECES.split(", ")]
+        tokens, end, names = word_tokens(path), np.array([end_id], "<u4").tobytes(), [c.split()[0] for c in PIECES.split(", ")]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -196,7 +197,7 @@ def pack(cut: DataFrame, max_len: int = MAX_LEN, rounds: int = 200) -> DataFrame
             counts[length] = n
     rows = places(plan(counts, max_len, rounds)) if counts.sum() else np.zeros((0, 6), np.int64)
     base = int((rows[:, 4] + rows[:, 3]).max()) if len(rows) else 0
-    salts = max(1, max(histogram.values(), default=0) // 50_000 + 1)
+    salts = min(4096, max(histogram.values(), default=0) // 1000 + 1)
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
