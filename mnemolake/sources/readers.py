@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,8 +82,6 @@ def pack_lines(text: str, size: int = 5000) -> list[str]:
 
 def chunks(rows: DataFrame, size: int = 5000) -> DataFrame:
     """Whole texts (file, text) as memories of note, hot, importance 9."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: pack_lines(t, size))
