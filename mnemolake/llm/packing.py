@@ -3,8 +3,9 @@
 Documents become token ids plus an end id; those longer than a sequence are cut into whole sequences and a remainder. The
 remainders' lengths, at most MAX_LEN different ones, form a histogram. Over it, the linear program "fewest sequences whose
 configurations cover all lengths" is solved by multiplicative weights: lengths still short of cover gain weight, and a
-knapsack dynamic program prices the best configuration under those weights. The fractional solution is rounded down to whole
-repeats; what is left, a bounded number of pieces, is packed best-fit by decreasing length. The plan holds a bounded number
+knapsack dynamic program prices the best configuration with each length under those weights, round after round until every
+length is covered. The fractional solution is rounded down to whole repeats; what is left, a bounded number of pieces, is
+packed best-fit by decreasing length. The plan holds a bounded number
 of rows however many pieces there are. Each piece finds its place from its rank among pieces of the same length; ranks come
 from counts by (length, salt), so a length that a third of all pieces share is spread over many tasks.
 """
@@ -88,9 +89,8 @@ def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
-def best_configuration(value: np.ndarray, capacity: int) -> np.ndarray:
-    """The multiset of lengths of the highest total value that fits: unbounded knapsack, by capacity. value[l] is of length
-    l, 0 for lengths not offered (as at index 0); returns the lengths, largest first."""
+def _knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each capacity up to the given one the highest total value that fits, and the length picked last (0: none)."""
     offered = np.where(value > 0, value, -np.inf)[::-1]  # so that a slice of it runs against best
     best, pick, n = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), len(value)
     for c in range(1, capacity + 1):
@@ -101,32 +101,63 @@ def best_configuration(value: np.ndarray, capacity: int) -> np.ndarray:
             best[c], pick[c] = sums[at], c - low - at
         else:
             best[c] = best[c - 1]
+    return best, pick
+
+
+def _picked(pick: np.ndarray, capacity: int) -> list[int]:
     out, c = [], capacity
     while c > 0:
         if pick[c]:
-            out.append(pick[c])
+            out.append(int(pick[c]))
             c -= pick[c]
         else:
             c -= 1
-    return np.array(sorted(out, reverse=True), np.int64)
+    return out
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int, rate: float = 0.2, eta: float = 8.0) -> dict[tuple[int, ...], float]:
-    """Multiplicative weights for: minimise sum(x) with sum(x_c * c[l]) >= counts[l]. The dual price of a length starts at its
-    share of a sequence (a little more for the long, which fit fewer places) and falls by the factor exp(-eta * covered
-    share): what lags gains weight. Each round prices one configuration by knapsack and uses it until one of its lengths is
-    covered by `rate` more."""
+def best_configuration(value: np.ndarray, capacity: int) -> np.ndarray:
+    """The multiset of lengths of the highest total value that fits: unbounded knapsack, by capacity. value[l] is of length
+    l, 0 for lengths not offered (as at index 0); returns the lengths, largest first."""
+    return np.array(sorted(_picked(_knapsack(value, capacity)[1], capacity), reverse=True), np.int64)
+
+
+def solve(counts: np.ndarray, capacity: int, rounds: int | None = None, rate: float = 0.2, eta: float = 8.0, slack: float = 0.01) -> dict[tuple[int, ...], float]:
+    """Multiplicative weights for: minimise sum(x) with sum(x_c * c[l]) >= counts[l], until every length is covered (or for
+    `rounds` rounds). The dual price of a length starts at its share of a sequence (a little more for the long, which fit
+    fewer places) and falls by the factor exp(-eta * covered share): what lags gains weight.
+
+    Each round is one knapsack, whose table prices the best configuration with each length in it. Those within `slack` of the
+    best of all are used, best first, each until one of its lengths is covered by `rate` more than when the round began, but
+    at least once if that much is still short. The best of all is always among them, so each round covers more."""
     lengths = np.arange(len(counts)) / capacity
-    price = np.where(counts > 0, lengths * (1 + 0.1 * lengths), 0.0)
-    demand, cover, out = np.maximum(counts, 1), np.zeros(len(counts)), {}
-    for _ in range(rounds):
-        config = best_configuration(price * np.exp(-eta * cover / demand) * (cover < demand), capacity)
-        if not len(config):
+    first = np.where(counts > 0, lengths * (1 + 0.1 * lengths), 0.0)
+    demand, cover, out, done = np.maximum(counts, 1), np.zeros(len(counts)), {}, 0
+    while rounds is None or done < rounds:
+        done += 1
+        price = first * np.exp(-eta * cover / demand) * (cover < demand - 1e-9)
+        offered = np.flatnonzero(price)
+        if not len(offered):
             break
-        kinds, n = np.unique(config, return_counts=True)
-        times = min(float((rate * demand[kinds] / n).min()), float(((demand - cover)[kinds] / n).min()))
-        out[tuple(config.tolist())] = out.get(tuple(config.tolist()), 0.0) + times
-        cover[kinds] += times * n
+        best, pick = _knapsack(price, capacity)
+        total = price[offered] + best[capacity - offered]
+        most = np.minimum(cover + np.maximum(rate * demand, 1.0), demand)
+        near = np.flatnonzero(total >= (1 - slack) * total.max())
+        for length in offered[near[np.argsort(-total[near], kind="stable")]].tolist():
+            if cover[length] > most[length] - 1e-9:
+                continue
+            config = tuple(sorted([length, *_picked(pick, capacity - length)], reverse=True))
+            kinds, n = np.unique(np.array(config), return_counts=True)
+            room = most[kinds] - cover[kinds]
+            if (room <= 1e-9).any():
+                continue
+            times = float((room / n).min())
+            # whole repeats wherever what is short allows them, so that rounding loses little
+            if times < 1 <= float(((demand - cover)[kinds] / n).min()):
+                times = 1.0
+            elif times > 1:
+                times = float(np.floor(times + 1e-9))
+            out[config] = out.get(config, 0.0) + times
+            cover[kinds] += times * n
     return out
 
 
@@ -146,7 +177,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def plan(counts: np.ndarray, capacity: int, rounds: int = 200, few: int = 60_000) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: np.ndarray, capacity: int, rounds: int | None = None, few: int = 60_000) -> list[tuple[tuple[int, ...], int]]:
     """(configuration, repeats) that hold exactly counts[l] pieces of each length l < capacity."""
     left, out = counts.astype(np.int64).copy(), []
     for config, times in solve(left.astype(float), capacity, rounds).items():
@@ -183,7 +214,7 @@ def places(configs: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
-def pack(cut: DataFrame, max_len: int = MAX_LEN, rounds: int = 200) -> DataFrame:
+def pack(cut: DataFrame, max_len: int = MAX_LEN, rounds: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...). cut is read several times: stage it first.
 
     Ties: pieces of one length are ranked by (doc_id, piece, ids_crc32), nulls first. Whole-sequence pieces stand alone. The
