@@ -14,7 +14,7 @@ from .retrieval import Q
 
 @query("u1_store")
 def _(t):
-    new = t.phrases.where("event_id < 240").select(
+    new = t.phrases.select(
         F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("id"), F.lit("note").alias("type"), F.col("text").alias("content"), F.lit("project:en").alias("context"), F.lit("warm").alias("tier"),
         F.lit("a").alias("agent"), F.lit(5).alias("importance"), F.array(F.lit("t")).alias("tags"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("category"),
         F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("pk."), (F.col("event_id") % 20).cast("string"))).alias("pattern_key"), F.lit(None).cast("int").alias("recurrence_count"),
