@@ -3,9 +3,9 @@
 A document is a weighted set: its words, lower-cased and cut at white space, with their counts. For each of SLOTS slots and
 each word, a hash of both gives r and c, each Gamma(2, 1), and b, uniform. With t = floor(ln(weight) / r + b), the sample is
 ln a = ln c - r * (t + 1 - b); the slot keeps the least of all words. Two documents agree in a slot with a probability equal
-to their generalised Jaccard similarity (sum of the smaller over sum of the larger weights). The gammas come from tables of
-QUANTILES quantiles, so that a sample costs a hash, two look-ups and one division in generated code. A signature is the least
-samples, hashed to 16 bits each: 4 hex digits for each slot. Likeness is the share of equal slots.
+to their generalised Jaccard similarity (sum of the smaller over sum of the larger weights). A gamma is -ln(u v) of two uniforms, which is Gamma(2, 1)
+exactly, with the tails from which the least sample of a long text comes; each takes the halves of a hash of its own. A
+signature is the least samples, hashed to 16 bits each: 4 hex digits for each slot. Likeness is the share of equal slots.
 
 Documents are shuffled once, into ranges of doc_id that sampled splitters make even in bytes; the next document of each, the
 counts and the samples are all found within a range. The last row of a range needs the first of the range below: of each
@@ -18,7 +18,6 @@ of a table of one row, itself. An empty table gives an empty result; other colum
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,41 +25,26 @@ from pyspark.sql.window import Window
 from .common import table
 from .splitters import range_of, sample_boundaries
 
-SLOTS, QUANTILES = 64, 2048
+SLOTS = 64
 RANGE_BYTES, MAX_RANGES = 4 << 20, 16_384
 
 
-def gamma_quantiles(n: int) -> np.ndarray:
-    """The middles of n equal shares of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), by bisection."""
-    p = (np.arange(n) + 0.5) / n
-    low, high = np.zeros(n), np.full(n, 60.0)
-    for _ in range(80):
-        mid = (low + high) / 2
-        under = 1 - (1 + mid) * np.exp(-mid) < p
-        low, high = np.where(under, mid, low), np.where(under, high, mid)
-    return (low + high) / 2
+def _gamma(h: Column) -> Column:
+    """Gamma(2, 1) of a 64-bit hash: each half is a uniform in (0, 1)."""
+    unit = lambda bits: (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-32)
+    return -F.log(unit(h.bitwiseAND(F.lit(0xFFFFFFFF))) * unit(F.shiftrightunsigned(h, 32)))
 
 
-def sample(term: Column, log_weight: Column, slot: int, r_table: Column, c_table: Column) -> Column:
-    """ln a of one term in one slot. Bits of one hash: 11 for r, 11 for c, 42 for b."""
-    h = F.xxhash64(term, F.lit(slot))
-    r = F.get(r_table, h.bitwiseAND(F.lit(QUANTILES - 1)).cast("int"))
-    log_c = F.get(c_table, F.shiftrightunsigned(h, 11).bitwiseAND(F.lit(QUANTILES - 1)).cast("int"))
-    b = F.shiftrightunsigned(h, 22).cast("double") * F.lit(2.0**-42)
-    return log_c - r * (F.floor(log_weight / r + b).cast("double") + F.lit(1.0) - b)
-
-
-def _field(name: str):
-    return lambda x: x.getField(name)
+def sample(term: Column, log_weight: Column, slot: int) -> Column:
+    """ln a of one term in one slot, of three hashes: for r, for c and for b."""
+    r, c = (_gamma(F.xxhash64(term, F.lit(3 * slot + k))) for k in (0, 1))
+    b = F.shiftrightunsigned(F.xxhash64(term, F.lit(3 * slot + 2)), 11).cast("double") * F.lit(2.0**-53)
+    return F.log(c) - r * (F.floor(log_weight / r + b).cast("double") + F.lit(1.0) - b)
 
 
 def signatures(words: DataFrame, keys: list[str], slots: int = SLOTS) -> DataFrame:
     """keys and s0, s1, ...: the least samples of each key's weighted words (columns term, log_weight)."""
-    quantiles = gamma_quantiles(QUANTILES)
-    # as scalar subqueries over a small table: neither plans nor expressions spell the values out
-    steps = words.sparkSession.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(quantiles, np.log(quantiles), strict=True))], "i int, r double, c double")
-    r_table, c_table = (steps.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", n))), _field(n)).alias("t")).scalar() for n in "rc")
-    return words.groupBy(*keys).agg(*(F.min(sample(F.col("term"), F.col("log_weight"), i, r_table, c_table)).alias(f"s{i}") for i in range(slots)))
+    return words.groupBy(*keys).agg(*(F.min(sample(F.col("term"), F.col("log_weight"), i)).alias(f"s{i}") for i in range(slots)))
 
 
 def _next_rows(docs: DataFrame) -> DataFrame:
