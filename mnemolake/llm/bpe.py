@@ -94,8 +94,10 @@ class SuffixAutomaton:
 
 
 class Remembered(dict):
-    """What make gives for each key, for the most recently used keys: when `most` are held, the older half waits to be asked
-    for again, and is then dropped."""
+    """What make gives for each key, for the most recently used keys of up to LONGEST characters: when `most` are held, the
+    older half waits to be asked for again, and is then dropped. So what is held is bounded in bytes too."""
+
+    LONGEST = 64
 
     def __init__(self, make, most: int):
         super().__init__()
@@ -105,6 +107,8 @@ class Remembered(dict):
         got = self.old.pop(key, None)
         if got is None:
             got = self.make(key)
+        if len(key) > self.LONGEST:
+            return got
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

@@ -8,6 +8,10 @@ length is covered. The fractional solution is rounded down to whole repeats; wha
 packed best-fit by decreasing length. The plan holds a bounded number
 of rows however many pieces there are. Each piece finds its place from its rank among pieces of the same length; ranks come
 from counts by (length, salt), so a length that a third of all pieces share is spread over many tasks.
+
+A null or empty text is one end id; a null doc_id is kept, and repeated rows are packed as often as they stand; pieces of one
+length take their places in no order that matters. A very long text is tokenised alone and cut into many pieces. An empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,31 +19,36 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import PrefixBpe, Remembered, pack_ids
-from .common import staged, table
+from .bpe import Remembered, byte_letters, pack_ids
+from .common import literal_array, staged, table
 
 MAX_LEN = 2048
+#: A staged piece's own number, hashed.
+ROW = "row_of_piece"
 END_ID = 0
-REMEMBERED = 400_000
+REMEMBERED, SLICE_BYTES = 400_000, 4 << 20
 #: Characters on whose classes, case and composition all Unicode versions agree.
 PLAIN = re.compile("[\t\n\r -~¡-ÿ–—‘-”…]*")
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t\n\r "
 
 
 class WordTokens:
-    """The ids that the tokenizers library gives for the file. No word spans white space, so a text is cut there first; each
-    different chunk is cut into words by the file's pattern, and each different word encoded by prefixes (see bpe). Recent
-    chunks and words are remembered, within a bound. Texts of other characters go through the library."""
+    """The ids that the tokenizers library gives for the file. No word spans white space, so texts are cut there first, many
+    at a time; each different chunk of them is cut into words by the file's pattern, and each different word is encoded once
+    by the library's model. Recent short chunks and words are remembered, within a bound. Texts of other characters than
+    PLAIN, or with special tokens, go through the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,16 +58,35 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.words = PrefixBpe(path)
         self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+").findall
-        self.known = Remembered(lambda w: pack_ids(self.words.piece(w.encode())), REMEMBERED)
-        self.chunks = Remembered(lambda x: b"".join(map(self.known.__getitem__, self.find(x))), REMEMBERED)
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.model = self.library.model
+        self.words = Remembered(self._word, REMEMBERED)
+        self.chunks = Remembered(lambda x: b"".join(map(self.words.__getitem__, self.find(x.lower()))), REMEMBERED)
+
+    def _word(self, word: str) -> bytes:
+        return pack_ids([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Of each text its little-endian unsigned 32-bit ids."""
+        plain = [bool(PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        cut = pc.ascii_split_whitespace(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
+        parts = cut.flatten().dictionary_encode()
+        ids = list(map(self.chunks.__getitem__, parts.dictionary.to_pylist()))
+        sizes, which = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, parts.indices.to_numpy()
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        ends = np.concatenate([[0], np.cumsum(sizes[which])]).astype(np.int64)
+        # each place's source: its chunk's first id, and how far it is from where the chunk was put
+        shift = (np.cumsum(sizes) - sizes)[which] - ends[:-1]
+        data = flat[np.repeat(shift, sizes[which]) + np.arange(ends[-1])].tobytes()
+        bounds = (4 * ends[cut.offsets.to_numpy()]).tolist()
+        return [data[lo:hi] if p else self._whole(t) for t, p, lo, hi in zip(texts, plain, bounds[:-1], bounds[1:], strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(maxsize=1)
@@ -67,6 +95,16 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about SLICE_BYTES of text, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -75,16 +113,16 @@ def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end, names = word_tokens(path), np.array([end_id], "<u4").tobytes(), [c.split()[0] for c in PIECES.split(", ")]
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokens.encode(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * max_len)):
-                    part = ids[at : at + 4 * max_len]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if with_ids else [])))
-            cols = list(zip(*rows, strict=True)) or [[]] * (5 + with_ids)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names + ["ids"] * with_ids)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
+        for whole in batches:
+            for batch in _slices(whole):
+                rows = []
+                for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode_all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * max_len)):
+                        part = ids[at : at + 4 * max_len]
+                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if with_ids else [])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names + ["ids"] * with_ids)
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
@@ -217,7 +255,7 @@ def places(configs: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 def pack(cut: DataFrame, max_len: int = MAX_LEN, rounds: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...). cut is read several times: stage it first.
 
-    Ties: pieces of one length are ranked by (doc_id, piece, ids_crc32), nulls first. Whole-sequence pieces stand alone. The
+    Pieces of one length and salt are ranked by (doc_id, piece, ids_crc32), nulls first. Whole-sequence pieces stand alone. The
     histogram (max_len rows) and the plan reach the driver; counts by (length, salt) stay distributed.
     """
     spark = cut.sparkSession
@@ -228,15 +266,17 @@ def pack(cut: DataFrame, max_len: int = MAX_LEN, rounds: int | None = None) -> D
             counts[length] = n
     rows = places(plan(counts, max_len, rounds)) if counts.sum() else np.zeros((0, 6), np.int64)
     base = int((rows[:, 4] + rows[:, 3]).max()) if len(rows) else 0
-    salts = min(4096, max(histogram.values(), default=0) // 1000 + 1)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    # as many salts for a length as each then has rows; a staged row's number tells rows of one id apart
+    salts = literal_array([math.isqrt(histogram.get(n, 0)) + 1 for n in range(max_len + 1)], "int")
+    spread = F.col(ROW) if ROW in cut.columns else F.xxhash64("doc_id", "piece")
+    salted = cut.withColumn("salt", F.pmod(spread, F.get(salts, F.col("length").cast("int"))).cast("int"))
     sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(own)).join(starts, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("first") + F.col("rank") - 1).drop("first", "salt")
-    names = [c for c in cut.columns if c in PIECES or c == "ids"]
+    names = [c for c in cut.columns if c in PIECES and c != ROW or c == "ids"]
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name in names)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +300,8 @@ def pack_documents(docs: DataFrame, path: str, max_len: int = MAX_LEN) -> DataFr
     An empty table gives an empty result; empty and null texts are one end id; repeated rows are packed as often as they
     stand; a null doc_id is kept; other columns are ignored.
     """
-    return pack(staged(pieces(docs, path, max_len), "pieces"), max_len)
+    cut = pieces(docs, path, max_len).withColumn(ROW, F.xxhash64(F.monotonically_increasing_id()))
+    return pack(staged(cut, "pieces"), max_len)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
