@@ -6,7 +6,8 @@ pass. Rows whose hashed id says so are held out and never learnt from. Scores de
 
 A null text counts as empty and gets a score like any other; a null doc_id is scored and not held out; labels that are null
 or repeat differently for one id are not learnt from; without any labelled row all scores are 0.5. Repeated rows each get
-their row; an empty table gives an empty result; other columns are ignored.
+their row; an empty table gives an empty result; other columns are ignored unless asked for. A very long text is scored whole
+in one go: its n-gram ids take some ten times its size in memory, and no more.
 """
 
 from __future__ import annotations
@@ -25,20 +26,26 @@ from .common import table
 #: The most labelled rows that a model is fitted on.
 SAMPLE = 4000
 THRESHOLD = 0.7
-TOXIC = nbsvm.CharNgrams(orders=(4, 5), bits=19)
+#: The columns of the result.
+OWN = ("doc_id", "held_out", "score", "predicted")
+TOXIC = nbsvm.CharNgrams(orders=(4, 5, 6, 7, 8), bits=20)
+TOXIC_FIT = {"cost": 5.0, "epochs": 15, "folds": 3, "alpha": 20.0, "least": 10, "best_at": THRESHOLD}
 QUALITY = nbsvm.WordNgrams(orders=(1, 2), bits=19)
+QUALITY_FIT = {"folds": 2}
 
 
 def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, features, modulus: int, rest: int, sample: int = SAMPLE) -> bytes:
-    """A model fitted on at most `sample` rows of docs with a label that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, label: str, features, modulus: int, rest: int, sample: int = SAMPLE, how: dict | None = None) -> bytes:
+    """A model fitted on at most `sample` rows of docs with a label that are not held out, one for each doc_id (that of the
+    smallest text), however many rows repeat it."""
     known = labels.where(f"{label} in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("y"), F.max(label).alias("z"))
     known = known.where((F.col("y") == F.col("z")) & ~held_out(F.col("doc_id"), modulus, rest) & F.col("doc_id").isNotNull())
     drawn = known.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(sample).select("doc_id", "y")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # bounded by sample
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = features.scratch()
@@ -49,7 +56,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features, modulus: int
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sorted((d, i, y) for b in batches for d, y, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
         rows = [np.frombuffer(i, "<i4") for _, i, _ in own[:sample]]
-        model = nbsvm.fit(rows, np.array([y for _, _, y in own[:sample]]), features.bits, folds=2)
+        model = nbsvm.fit(rows, np.array([y for _, _, y in own[:sample]]), features.bits, **(how or {}))
         yield pa.RecordBatch.from_arrays([pa.array([model.pack()], pa.binary())], ["model"])
 
     got = rows.select("doc_id", "text", "y").mapInArrow(ids, "doc_id long, y int, ids binary").repartition(1).mapInArrow(one, "model binary").collect()
@@ -57,9 +64,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features, modulus: int
 
 
 def score(docs: DataFrame, model: bytes, features, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and the columns in keep, for every row of docs (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in keep if c not in ("doc_id", "text")))
-    kept = [c for c in rows.columns[1:] if c in keep]
+    """doc_id, score and the columns in keep, for every row of docs (doc_id, text). A kept column that has the name of one of
+    OWN is called doc_<name>."""
+    name = lambda c: f"doc_{c}" if c in OWN else c
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`").alias(name(c)) for c in keep if c not in ("doc_id", "text")))
+    kept = [*(["text"] if "text" in keep else []), *rows.columns[2:]]
     packed = docs.sparkSession.sparkContext.broadcast(model)  # one weight for each hashed feature: a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,18 +81,18 @@ def score(docs: DataFrame, model: bytes, features, keep: tuple[str, ...] = ()) -
     return rows.mapInArrow(run, f"doc_id long, score double{more}")
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str, features, modulus: int, rest: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    model = train(docs, labels, label, features, modulus, rest)
+def classify(docs: DataFrame, labels: DataFrame, label: str, features, modulus: int, rest: int, keep: tuple[str, ...] = (), how: dict | None = None) -> DataFrame:
+    model = train(docs, labels, label, features, modulus, rest, how=how)
     out = score(docs, model, features, keep)
-    return out.select("doc_id", held_out(F.col("doc_id"), modulus, rest).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *(c for c in keep if c != "doc_id"))
+    return out.select("doc_id", held_out(F.col("doc_id"), modulus, rest).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *out.columns[2:])
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    return classify(docs, labels, "quality", QUALITY, 4, 2, keep)
+    return classify(docs, labels, "quality", QUALITY, 4, 2, keep, QUALITY_FIT)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    return classify(docs, labels, "toxic", TOXIC, 3, 1, keep)
+    return classify(docs, labels, "toxic", TOXIC, 3, 1, keep, TOXIC_FIT)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,12 +103,19 @@ def shapes(text: str) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(k) for k in kinds], np.uint64)
 
 
-def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: float = 1.0) -> np.ndarray:
-    """Of each feature: the log of its smoothed share of the counts of class 1 over its share of those of class 0."""
-    p, q = (np.full(size, alpha) for _ in range(2))
+def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: float = 1.0, least: int = 1) -> np.ndarray:
+    """Of each feature: the log of its share of the rows of class 1 over its share of those of class 0. Both shares are drawn
+    towards each other by alpha rows that have it, dealt to the classes by their sizes, so that a feature without evidence has
+    ratio 0 however uneven the classes are; so has one that fewer than `least` rows have."""
+    p, q = np.zeros(size), np.zeros(size)
     for x, label in zip(rows, y, strict=True):
         (p if label else q)[x] += 1
-    return (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float32)
+    up = float(y.sum())
+    down = len(y) - up
+    a, b = alpha * up / len(y), alpha * down / len(y)
+    ratio = np.log((p + a) / (up + a)) - np.log((q + b) / (down + b))
+    ratio[p + q < least] = 0
+    return ratio.astype(np.float32)
 
 
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float, epochs: int, seed: int = 7) -> np.ndarray:
@@ -186,16 +193,35 @@ def _platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-6)), float(b)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, bits: int, cost: float = 1.0, epochs: int = 12, folds: int = 3) -> Model:
-    """With one class only (or no row), every score is near that class's share, smoothed."""
+def _threshold(margins: np.ndarray, y: np.ndarray) -> float:
+    """The margin above which F1 is greatest, halfway to the next."""
+    order = np.argsort(-margins, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    at = int(f1.argmax())
+    return float((margins[order[at]] + margins[order[min(at + 1, len(y) - 1)]]) / 2)
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, bits: int, cost: float = 1.0, epochs: int = 12, folds: int = 3, alpha: float = 1.0, least: int = 1, best_at: float | None = None) -> Model:
+    """With one class only (or no row), every score is near that class's share, smoothed. best_at: the score that the margin
+    of the greatest F1 in cross-validation shall have, where both classes have 20 rows or more; else the logistic is left as
+    fitted. alpha and least (see log_count_ratio) are lowered where the smaller class has few rows."""
     size, n, up = 1 << bits, len(rows), int(y.sum())
+    few = min(up, n - up)
+    alpha, least = min(alpha, max(1.0, few / 15)), min(least, max(1, few // 10))
     if n == 0 or up in (0, n):
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 1.0, float(np.log((up + 1) / (n - up + 1))))
 
+    if least > 1:  # once for all fits: what too few rows have is not a feature
+        have = np.zeros(size, np.int32)
+        for x in rows:
+            have[x] += 1
+        rows = [x[have[x] >= least] for x in rows]
+
     def one(at: np.ndarray) -> Model:
         own, label = [rows[i] for i in at], y[at]
-        scale = log_count_ratio(own, label, size)
-        w = dual_descent(own, label, scale, cost, epochs)
+        scale = log_count_ratio(own, label, size, alpha, least)
+        w = dual_descent([x[scale[x] != 0] for x in own], label, scale, cost, epochs)
         return Model(scale, w[:-1].astype(np.float32), float(w[-1]))
 
     order = np.random.default_rng(11).permutation(n)
@@ -208,4 +234,6 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int, cost: float = 1.0, epo
             margins[part] = [model.margin(rows[i]) for i in part]
     model = one(np.arange(n))
     model.a, model.b = _platt(margins, y)
+    if best_at is not None and few >= 20:
+        model.b = float(np.log(best_at / (1 - best_at)) - model.a * _threshold(margins, y))
     return model
