@@ -14,7 +14,9 @@ first or the last floor(n / 2) words are the same (n: words of the shorter): onl
 line fetch their words and emit variants. Until then only hashes are shuffled.
 
 Rows that repeat both doc_id and text count as one document and get one result each. Nulls: a null text has no line and
-stays null; a null doc_id comes first. An empty table gives an empty result; other columns are kept as they are.
+stays null; a null doc_id comes first. An empty table gives an empty result; other columns are kept as they are,
+but for those called n_lines or n_kept, which come back as doc_n_lines and doc_n_kept. A text is cut into lines once for each
+pass, however many lines it has.
 """
 
 from __future__ import annotations
@@ -77,9 +79,11 @@ def near_earlier(docs: DataFrame, seen: DataFrame, firsts: DataFrame) -> DataFra
     shared = halves.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("half")
     some = halves.join(shared, "half").select("a").distinct()
     wanted = firsts.join(some, "a", "left_semi").select("at.*").groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("wanted"))
-    texts = _with(docs, wanted, "inner")
-    few = texts.select("of_id", "text_hash", F.explode("wanted").alias("pos"), F.split("text", "\n").alias("all"))
-    few = few.select(F.struct(F.col("of_id").alias("doc_id"), "text_hash", "pos").alias("at"), _words(F.get("all", F.col("pos"))).alias("w"))
+    texts = _with(docs.select("doc_id", "text"), wanted, "inner")
+    # the text is cut once for all its wanted lines: the array of one array binds it
+    lines = F.transform(F.array(F.split("row.text", "\n")), lambda all: F.transform("wanted", lambda k: F.struct(k.alias("pos"), F.get(all, k).alias("line"))))
+    few = texts.select("of_id", "text_hash", F.explode(F.get(lines, F.lit(0))).alias("x"))
+    few = few.select(F.struct(F.col("of_id").alias("doc_id"), "text_hash", F.col("x.pos").alias("pos")).alias("at"), _words(F.col("x.line")).alias("w"))
     few = staged(few, "lines")
     n = F.size("h")
     words = few.select("at", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
@@ -97,10 +101,10 @@ def near_earlier(docs: DataFrame, seen: DataFrame, firsts: DataFrame) -> DataFra
 
 
 def _with(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """docs joined with found (doc_id, text_hash, more) by both; found's id is called of_id."""
+    """found (doc_id, text_hash, more) and the rows of docs, as structs called row, joined by both; found's id is called of_id."""
     found = found.withColumnRenamed("doc_id", "of_id")
-    rows = docs.withColumn("hash_of_row", F.xxhash64("text"))
-    return rows.join(found, rows.doc_id.cast("long").eqNullSafe(found.of_id) & (F.col("hash_of_row") == F.col("text_hash")), how)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("text").alias("hash_of_row"))
+    return rows.join(found, F.col("row.doc_id").cast("long").eqNullSafe(found.of_id) & (F.col("hash_of_row") == F.col("text_hash")), how)
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -121,9 +125,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     firsts = seen.groupBy("a", "b").agg(F.min("at").alias("at"))
     gone = near_earlier(docs, seen, firsts)
     kept = firsts.select("at").join(gone, "at", "left_anti").select("at.*").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
-    stays = F.filter(F.split("text", "\n"), lambda x, k: F.coalesce(F.array_contains("kept", k), F.lit(False)) | (F.size(_words(x)) == 0))
-    out = _with(docs, kept, "left").withColumn("stays", stays)
-    return out.select(*(F.array_join("stays", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"), F.coalesce(F.size("stays"), F.lit(0)).alias("n_kept"))
+    # blank lines and kept ones, in their order; the array of one array binds the cut text
+    def staying(all: Column) -> Column:
+        blank = F.filter(F.sequence(F.lit(0), F.size(all) - 1), lambda k: F.size(_words(F.get(all, k))) == 0)
+        return F.transform(F.array_sort(F.concat(blank, F.coalesce("kept", F.array().cast("array<int>")))), lambda k: F.get(all, k))
+
+    stays = F.when(F.col("row.text").isNotNull(), F.get(F.transform(F.array(F.split("row.text", "\n")), staying), F.lit(0)))
+    out = _with(docs, kept, "left").select("row", F.size(F.split("row.text", "\n")).alias("n"), stays.alias("stays"))
+    name = lambda c: f"doc_{c}" if c in ("n_lines", "n_kept") else c
+    own = (F.array_join("stays", "\n").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(name(c)) for c in docs.columns)
+    return out.select(*own, F.coalesce(F.when(F.col("row.text").isNotNull(), F.col("n")), F.lit(0)).alias("n_lines"), F.coalesce(F.when(F.col("row.text").isNotNull(), F.size("stays")), F.lit(0)).alias("n_kept"))
 
 
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

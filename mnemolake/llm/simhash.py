@@ -43,7 +43,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     if len(found) < words:
         return h(b" ".join(found), 42)
     join = b" ".join
-    hashes = np.array([h(join(x), 42) for x in zip(*(found[k:] for k in range(words)), strict=False)], "<u8")
+    return majority(np.array([h(join(x), 42) for x in zip(*(found[k:] for k in range(words)), strict=False)], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes; zero of none."""
+    if not len(hashes):
+        return 0
+    hashes = hashes.astype("<u8", copy=False)
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):  # so that a very long text takes no more memory than a short one
         votes += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
