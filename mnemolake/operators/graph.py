@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 
 def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/mnemolake-{spark.sparkContext.applicationId}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = folder or f"file://{tempfile.gettempdir()}/mnemolake-{spark.sparkContext.applicationId}"
     path = f"{folder.rstrip('/')}/labels-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,9 +40,10 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], resolvers: dict
 
 
 def apply_diff(target: DataFrame, diff: DataFrame, key: str = "id") -> DataFrame:
-    """target with the diff's columns put in where it has a row."""
-    cols = [c for c in diff.columns if c != key and c in target.columns]
-    named = diff.select(key, *(F.col(c).alias(f"__{c}") for c in cols), F.lit(True).alias("__hit"))
+    """target with the diff's columns put in where it has a row. A diff that has both c and new_c tells c as it was and as it
+    shall be: new_c is put in."""
+    cols = [c for c in target.columns if c != key and (c in diff.columns or f"new_{c}" in diff.columns)]
+    named = diff.select(key, *(F.col(f"new_{c}" if f"new_{c}" in diff.columns else c).alias(f"__{c}") for c in cols), F.lit(True).alias("__hit"))
     joined = target.join(named, key, "left")
     return joined.select(*(F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in target.columns))
 
@@ -87,11 +88,24 @@ def insert_absent(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.join(target.select(key).distinct(), key, "left_anti")
 
 
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshot at path; one that a writer had set aside when it was lost is put back first."""
+    jvm = spark._jvm
+    old, now = (jvm.org.apache.hadoop.fs.Path(path + x) for x in (".old", ""))
+    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(now) and fs.exists(old):
+        fs.rename(old, now)
+    return spark.read.parquet(path)
+
+
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """Writes beside the old snapshot, then swaps: readers see one or the other."""
+    """Writes beside the old snapshot, then swaps. Between the two renames there is only the one set aside, which
+    read_snapshot finds; a lost writer's is put back before it could be deleted."""
     jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
     new, old, now = (jvm.org.apache.hadoop.fs.Path(path + x) for x in (".new", ".old", ""))
     fs = now.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(now) and fs.exists(old):
+        fs.rename(old, now)
     fs.delete(new, True)
     df.write.parquet(path + ".new")
     fs.delete(old, True)
