@@ -30,7 +30,12 @@ MIN_WORDS = 8
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(line, r"\s+"), "")
+
+
+def _blank(line: Column) -> Column:
+    """Whether a line has no word; told without cutting it."""
+    return ~line.rlike(r"\S")
 
 
 def _xor(hashes: Column) -> Column:
@@ -68,7 +73,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """A compact row for each line that is not blank: at (doc_id, text_hash, pos), 128 bits of hash of its words, and the
     hashes of its halves (none for lines of fewer than MIN_WORDS words). No text."""
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    rows = rows.select("doc_id", "text_hash", "pos", _words(F.col("raw")).alias("w")).where(F.size("w") > 0)
+    rows = rows.where(~_blank(F.col("raw"))).select("doc_id", "text_hash", "pos", _words(F.col("raw")).alias("w"))
     rows = rows.select("doc_id", "text_hash", "pos", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(7), "w").alias("b"), F.when(F.size("w") >= MIN_WORDS, F.transform("w", lambda x: F.xxhash64(x))).alias("h"))
     return rows.select(F.struct("doc_id", "text_hash", "pos").alias("at"), "a", "b", F.when(F.col("h").isNotNull(), _halves(F.col("h"), F.size("h"))).alias("halves"))
 
@@ -127,14 +132,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = firsts.select("at").join(gone, "at", "left_anti").select("at.*").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
     # blank lines and kept ones, in their order; the array of one array binds the cut text
     def staying(all: Column) -> Column:
-        blank = F.filter(F.sequence(F.lit(0), F.size(all) - 1), lambda k: F.size(_words(F.get(all, k))) == 0)
-        return F.transform(F.array_sort(F.concat(blank, F.coalesce("kept", F.array().cast("array<int>")))), lambda k: F.get(all, k))
+        blank = F.filter(F.sequence(F.lit(0), F.size(all) - 1), lambda k: _blank(F.get(all, k)))
+        return F.transform(F.sort_array(F.concat(blank, F.coalesce("kept", F.array().cast("array<int>")))), lambda k: F.get(all, k))
 
     stays = F.when(F.col("row.text").isNotNull(), F.get(F.transform(F.array(F.split("row.text", "\n")), staying), F.lit(0)))
-    out = _with(docs, kept, "left").select("row", F.size(F.split("row.text", "\n")).alias("n"), stays.alias("stays"))
+    out = _with(docs, kept, "left").select("row", stays.alias("stays"))
+    n_lines = F.octet_length("row.text") - F.octet_length(F.replace(F.col("row.text"), F.lit("\n"), F.lit(""))) + 1
     name = lambda c: f"doc_{c}" if c in ("n_lines", "n_kept") else c
     own = (F.array_join("stays", "\n").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(name(c)) for c in docs.columns)
-    return out.select(*own, F.coalesce(F.when(F.col("row.text").isNotNull(), F.col("n")), F.lit(0)).alias("n_lines"), F.coalesce(F.when(F.col("row.text").isNotNull(), F.size("stays")), F.lit(0)).alias("n_kept"))
+    return out.select(*own, F.coalesce(F.when(F.col("row.text").isNotNull(), n_lines), F.lit(0)).alias("n_lines"), F.coalesce(F.when(F.col("row.text").isNotNull(), F.size("stays")), F.lit(0)).alias("n_kept"))
 
 
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
