@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,8 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; one of this machine's own only where none is named."""
+    """The folder that the session names in spark.checkpoint.dir. Where none is named, one of this machine's own if all runs in
+    this process; on a cluster that is an error, as other machines would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = f"file://{tempfile.gettempdir()}/mnemolake-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", named)
