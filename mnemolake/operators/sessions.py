@@ -35,12 +35,18 @@ def repeated_failures(messages: DataFrame, least: int = 3) -> DataFrame:
 
 
 def exit_failures(messages: DataFrame) -> DataFrame:
-    """Tool results that ended badly, each (type, command or message, snippet) once, the earliest."""
-    got = rules.exit_failure(F.col("text"))
-    rows = messages.where(F.col("role") == "tool").select("session_id", "pos", got.alias("e"), rules.error_message(F.col("text")).alias("message")).where("e is not null")
-    key = F.concat_ws("|", F.coalesce("e.command", "message"), F.left("e.snippet", F.lit(80)))
+    """Tool results that ended badly (exit_code) or that show an error message (error_pattern; one result may be both), each
+    type and command (or message, or else beginning) once, the earliest."""
+    text = F.col("text")
+    snippet = F.trim(F.regexp_replace(F.substring("text", 1, 300), r"\s+", " "))
+    rows = messages.where(F.col("role") == "tool").select("session_id", "pos", rules.exit_failure(text).alias("e"), rules.error_message(text).alias("message"), snippet.alias("snippet"))
+    kind = lambda name, what, code: F.struct(F.lit(name).alias("type"), what.alias("what"), code.alias("code"))
+    ended = F.when(F.col("e").isNotNull(), kind("exit_code", F.col("e.command"), F.col("e.code")))
+    shown = F.when(F.col("message").isNotNull(), kind("error_pattern", F.col("message"), F.lit(None).cast("int")))
+    rows = rows.select("session_id", "pos", "snippet", F.explode(F.array_compact(F.array(ended, shown))).alias("x"))
+    key = F.concat_ws("|", "x.type", F.coalesce("x.what", F.left("snippet", F.lit(80))))
     first = F.min(F.struct("session_id", "pos")).alias("at")
-    return rows.groupBy(key.alias("key")).agg(first, F.count("*").alias("n"), F.min("e.code").alias("code")).select("key", "at.session_id", "at.pos", "n", "code")
+    return rows.groupBy(key.alias("key")).agg(first, F.count("*").alias("n"), F.min("x.code").alias("code")).select("key", "at.session_id", "at.pos", "n", "code")
 
 
 def facts(messages: DataFrame) -> DataFrame:
