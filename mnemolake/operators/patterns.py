@@ -22,7 +22,7 @@ def greedy_clusters(memories: DataFrame, threshold: float, newest: int = 500) ->
     are as like to the seed as the threshold. Clusters of one are dropped."""
     rows = memories.where(active() & F.col("embedding").isNotNull()).orderBy(F.desc("created_at"), "id").limit(newest)
     rank = rows.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("created_at"), "id")).alias("rank"))
-    pairs = _block_pairs(rows.select("id", "embedding"), threshold, newest)
+    pairs = _block_pairs(rows.select("id", "embedding"), threshold, newest, inclusive=True)
     named = pairs.join(rank.withColumnRenamed("rank", "ra"), "id").join(rank.select(F.col("id").alias("other"), F.col("rank").alias("rb")), "other").where("ra < rb")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -83,14 +83,24 @@ def promote_candidates(patterns: DataFrame, memories: DataFrame, as_of: Column,
 
 
 def neighbours(memories: DataFrame, threshold: float, k: int = 10, block: int = 2048) -> DataFrame:
-    """id, other, similarity: each active memory's k nearest above the threshold. Rows are packed into blocks, and pairs of
-    blocks are multiplied as matrices; no pair of memories becomes a row unless it passes."""
-    return _block_pairs(memories.where(active() & F.col("embedding").isNotNull()).select("id", "embedding"), threshold, block).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
-    ).where(F.col("rank") <= k)
+    """id, other, similarity, rank: each active memory's k nearest above the threshold; ties go to the smaller id. Rows are
+    packed into blocks, and pairs of blocks are multiplied as matrices; of a pair of blocks each memory yields k rows at most."""
+    rows = memories.where(active() & F.col("embedding").isNotNull()).select("id", "embedding")
+    return _ranked(_block_pairs(rows, threshold, block, k), k)
 
 
-def _block_pairs(rows: DataFrame, threshold: float, block: int) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """id (of the query), other, similarity, rank: the k nearest rows of each query (both: id, embedding), in blocks."""
+    return _ranked(_block_pairs(queries, -2.0, block, k, rows), k)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where(F.col("rank") <= k)
+
+
+def _block_pairs(rows: DataFrame, threshold: float, block: int, k: int | None = None, others: DataFrame | None = None, inclusive: bool = False) -> DataFrame:
+    """id, other, similarity (to 9 digits) of pairs above the threshold (inclusive: or at it), of rows with each other or with
+    others; k: the best k of each id from each pair of blocks, which loses none of its best k of all."""
     import numpy as np
     import pyarrow as pa
 
@@ -100,19 +110,32 @@ def _block_pairs(rows: DataFrame, threshold: float, block: int) -> DataFrame:
                 b = whole.slice(at, block)
                 yield pa.RecordBatch.from_pydict({"ids": pa.array([b.column(0).to_pylist()], pa.list_(pa.string())), "m": pa.array([np.array(b.column(1).to_pylist(), np.float64).tobytes()], pa.binary()), "n": pa.array([len(b)], pa.int32())})
 
-    packed = rows.mapInArrow(pack, "ids array<string>, m binary, n int").withColumn("b", F.monotonically_increasing_id())
-    left, right = (packed.select(*(F.col(c).alias(f"{s}_{c}") for c in packed.columns)) for s in "xy")
+    own = others is None
+
+    def packed(df, side):
+        return df.mapInArrow(pack, "ids array<string>, m binary, n int").select(*(F.col(c).alias(f"{side}_{c}") for c in ("ids", "m", "n")))
 
     def meet(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 x, y = (np.frombuffer(r[f"{s}_m"]).reshape(r[f"{s}_n"], -1) for s in "xy")
+                x_ids, y_ids = (np.array(r[f"{s}_ids"], object) for s in "xy")
                 nx, ny = (np.linalg.norm(v, axis=1) for v in (x, y))
-                sim = (x @ y.T) / np.maximum(np.outer(nx, ny), 1e-300)
-                i, j = np.nonzero(sim > threshold)
-                keep = [k for k in range(len(i)) if r["x_ids"][i[k]] != r["y_ids"][j[k]]]
-                yield pa.RecordBatch.from_pydict({"id": pa.array([r["x_ids"][i[k]] for k in keep], pa.string()), "other": pa.array([r["y_ids"][j[k]] for k in keep], pa.string()), "similarity": pa.array([float(sim[i[k], j[k]]) for k in keep], pa.float64())})
-
+                sim = np.round((x @ y.T) / np.maximum(np.outer(nx, ny), 1e-300), 9)
+                i, j = np.nonzero(sim >= threshold if inclusive else sim > threshold)
+                if own:
+                    apart = x_ids[i] != y_ids[j]
+                    i, j = i[apart], j[apart]
+                if k is not None and len(i):
+                    place = np.empty(len(y_ids), np.int64)
+                    place[sorted(range(len(y_ids)), key=y_ids.__getitem__)] = np.arange(len(y_ids))
+                    order = np.lexsort((place[j], -sim[i, j], i))
+                    i, j = i[order], j[order]
+                    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j = i[best], j[best]
+                yield pa.RecordBatch.from_pydict({"id": pa.array(x_ids[i].tolist(), pa.string()), "other": pa.array(y_ids[j].tolist(), pa.string()), "similarity": pa.array(sim[i, j], pa.float64())})
+
+    left, right = packed(rows, "x"), packed(rows if own else others, "y")
     return left.join(right, how="cross").mapInArrow(meet, "id string, other string, similarity double")  # a row is a block
 
 

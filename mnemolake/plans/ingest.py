@@ -25,10 +25,10 @@ def _(t):
 
 @query("r18_semantic_match", """with m as (select *, embedding::double[] as e from memories where superseded_by is null and embedding is not null and created_at >= {as_of} - interval 60 day),
  s as (select c.id as cand_id, m.id as match, list_dot_product(c.embedding::double[], m.e) / (sqrt(list_dot_product(c.embedding::double[], c.embedding::double[])) * sqrt(list_dot_product(m.e, m.e))) as s
-   from memories c join m on c.context is not distinct from m.context and c.category is not distinct from m.category and c.id <> m.id where c.embedding is not null and c.id::bigint % 5 = 0)
+   from memories c join m on c.context is not distinct from m.context and c.category is not distinct from m.category and c.id <> m.id where c.embedding is not null and c.id::bigint % 50 = 0)
  select cand_id, arg_max(match, (s, match)) as match, round(max(s), 4) as similarity from s where s >= 0.2 group by 1""")
 def _(t):
-    c = t.memories.where((F.col("id").cast("long") % 5 == 0) & F.col("embedding").isNotNull()).withColumnRenamed("id", "cand_id")
+    c = t.memories.where((F.col("id").cast("long") % 50 == 0) & F.col("embedding").isNotNull()).withColumnRenamed("id", "cand_id")
     got = ingest.semantic_match(c, t.memories, as_of(), Settings(dedupe_similarity=0.2, dedupe_days=60))
     return got.select("cand_id", "match", F.round("similarity", 4).alias("similarity"))
 

@@ -11,33 +11,33 @@ from ..sources import readers
 from .registry import as_of, query
 
 
-@query("u2_upsert", """with s as (select id, content, least(importance + 2, 10) as importance, case when id::bigint % 4 = 0 then null else 'new.key' end as pattern_key, recurrence_count + 1 as recurrence_count, last_seen + interval 1 day as last_seen from memories where id::bigint % 3 = 0
-   union all select concat('n', id), content, importance, null, 1, last_seen from memories where id::bigint % 50 = 0)
+@query("u2_upsert", """with s as (select id, content, least(importance + 2, 10) as importance, case when id::bigint % 4 = 0 then null else 'new.key' end as pattern_key, recurrence_count + 1 as recurrence_count, last_seen + interval 1 day as last_seen from memories where status in ('pending','in_progress')
+   union all select concat('n', id), content, importance, null, 1, last_seen from memories)
  select coalesce(t.id, s.id) as id, cast(case when s.id is null then t.importance else s.importance end as integer) as importance, case when t.id is null then s.pattern_key when s.id is null then t.pattern_key else coalesce(s.pattern_key, t.pattern_key) end as pattern_key,
    cast(greatest(t.recurrence_count, s.recurrence_count) as integer) as recurrence_count, greatest(t.last_seen, s.last_seen) as last_seen, t.access_count from memories t full join s on t.id = s.id""")
 def _(t):
     m = t.memories
     n = F.col("id").cast("long")
-    up = m.where(n % 3 == 0).select("id", "content", F.least(F.col("importance") + 2, F.lit(10)).alias("importance"), F.when(n % 4 != 0, F.lit("new.key")).alias("pattern_key"), (F.col("recurrence_count") + 1).alias("recurrence_count"), (F.col("last_seen") + F.expr("interval 1 day")).alias("last_seen"))
-    new = m.where(n % 50 == 0).select(F.concat(F.lit("n"), "id").alias("id"), "content", "importance", F.lit(None).cast("string"), F.lit(1), "last_seen")
+    up = m.where("status in ('pending','in_progress')").select("id", "content", F.least(F.col("importance") + 2, F.lit(10)).alias("importance"), F.when(n % 4 != 0, F.lit("new.key")).alias("pattern_key"), (F.col("recurrence_count") + 1).alias("recurrence_count"), (F.col("last_seen") + F.expr("interval 1 day")).alias("last_seen"))
+    new = m.select(F.concat(F.lit("n"), "id").alias("id"), "content", "importance", F.lit(None).cast("string"), F.lit(1), "last_seen")
     target = m.select("id", "content", "importance", "pattern_key", "recurrence_count", "last_seen", "access_count")
     return merge.merge(target, up.union(new), ["id"], merge.MEMORY_RULES).drop("content")
 
 
 @query("u3_merge_plan", """with e as (select *, row_number() over (partition by pattern_key order by last_seen desc nulls last, id) as n from memories where pattern_key is not null),
- k as (select concat('c', cast(event_id as varchar)) as cand_id, case when event_id % 3 = 0 then concat('pk.', cast(event_id % 20 as varchar)) end as pattern_key, case when event_id % 2 = 0 then cast(event_id % 9 as integer) end as rc, ts from requests where event_id < 500)
+ k as (select concat('c', cast(event_id as varchar)) as cand_id, case when event_id % 3 = 0 then concat('pk.', cast(event_id % 20 as varchar)) end as pattern_key, case when event_id % 2 = 0 then cast(event_id % 9 as integer) end as rc, ts from requests)
  select cand_id, e.id is not null as found, coalesce(e.id, cand_id) as final_id, cast(case when e.id is not null then greatest(coalesce(e.recurrence_count,1) + 1, coalesce(rc,0)) else coalesce(rc,1) end as integer) as final_recurrence, coalesce(e.first_seen, {as_of}) as final_first, ts as final_last
  from k left join e on e.pattern_key = k.pattern_key and e.n = 1""")
 def _(t):
     i = F.col("event_id")
-    k = t.requests.where(i < 500).select(F.concat(F.lit("c"), i.cast("string")).alias("cand_id"), F.when(i % 3 == 0, F.concat(F.lit("pk."), (i % 20).cast("string"))).alias("pattern_key"), F.when(i % 2 == 0, (i % 9).cast("int")).alias("recurrence_count"), F.lit(None).cast("timestamp_ntz").alias("first_seen"), F.col("ts").alias("last_seen"))
+    k = t.requests.select(F.concat(F.lit("c"), i.cast("string")).alias("cand_id"), F.when(i % 3 == 0, F.concat(F.lit("pk."), (i % 20).cast("string"))).alias("pattern_key"), F.when(i % 2 == 0, (i % 9).cast("int")).alias("recurrence_count"), F.lit(None).cast("timestamp_ntz").alias("first_seen"), F.col("ts").alias("last_seen"))
     return merge.merge_plan(k, t.memories, as_of())
 
 
-@query("u4_pattern_upsert", """with s as (select pattern_key, max(recurrence_count) as rc, min(first_seen) as fs, max(last_seen) as ls, max(importance * case tier when 'hot' then 1e0 when 'warm' then 0.7e0 when 'cold' then 0.4e0 when 'archive' then 0.2e0 else 0.5e0 end) as impact, arg_max(id, (last_seen, id)) as last_id from memories where pattern_key is not null and id::bigint % 2 = 0 group by 1)
+@query("u4_pattern_upsert", """with s as (select pattern_key, max(recurrence_count) as rc, min(first_seen) as fs, max(last_seen) as ls, max(importance * case tier when 'hot' then 1e0 when 'warm' then 0.7e0 when 'cold' then 0.4e0 when 'archive' then 0.2e0 else 0.5e0 end) as impact, arg_max(id, (last_seen, id)) as last_id from memories where pattern_key is not null group by 1)
  select p.pattern_key, cast(greatest(p.recurrence_count, s.rc) as integer) as recurrence_count, least(p.first_seen, s.fs) as first_seen, greatest(p.last_seen, s.ls) as last_seen, round(greatest(p.impact_score, s.impact),4) as impact, p.representative_memory_id, coalesce(s.last_id, p.last_memory_id) as last_memory_id from patterns p left join s using (pattern_key)""")
 def _(t):
-    new = merge.pattern_rows(t.memories.where(F.col("id").cast("long") % 2 == 0))
+    new = merge.pattern_rows(t.memories)
     return merge.merge(t.patterns, new, ["pattern_key"], merge.PATTERN_RULES).select("pattern_key", "recurrence_count", "first_seen", "last_seen", F.round("impact_score", 4).alias("impact"), "representative_memory_id", "last_memory_id")
 
 
@@ -157,10 +157,10 @@ def _(t):
     return advisory.learnings(t.cycles)
 
 
-@query("u25_evaluate", "select id, concat('saw ', tool) as actual_outcome, least(1.0e0, cast(id::bigint % 150 as double)/100) as accuracy, 'evaluated' as status from cycles where status = 'predicted' and id::bigint % 6 = 0")
+@query("u25_evaluate", "select id, concat('saw ', tool) as actual_outcome, least(1.0e0, cast(id::bigint % 150 as double)/100) as accuracy, 'evaluated' as status from cycles where status = 'predicted'")
 def _(t):
     i = F.col("id").cast("long")
-    seen = t.cycles.where(i % 6 == 0).select("id", F.concat(F.lit("saw "), "tool").alias("actual_outcome"), (i % 150 / 100).alias("accuracy"))
+    seen = t.cycles.select("id", F.concat(F.lit("saw "), "tool").alias("actual_outcome"), (i % 150 / 100).alias("accuracy"))
     return advisory.evaluate_cycles(t.cycles, seen)
 
 
@@ -192,9 +192,9 @@ def _(t):
     return t.phrases.select("event_id", c.first_rule(F.col("text")).alias("rule"))
 
 
-@query("f13_masked_urls", "select event_id, regexp_replace(text, '//[^@]+@', '//***@', 'g') as text from phrases where event_id % 12 = 8")
+@query("f13_masked_urls", "select event_id, regexp_replace(text, '//[^@]+@', '//***@', 'g') as text from phrases")
 def _(t):
-    return t.phrases.where("event_id % 12 = 8").select("event_id", c.mask_credentials(F.col("text")).alias("text"))
+    return t.phrases.select("event_id", c.mask_credentials(F.col("text")).alias("text"))
 
 
 @query("f18_overlap", """with w as (select a.event_id, list_distinct(list_filter(regexp_split_to_array(lower(a.text), '\\s+'), lambda x: x <> '')) as x, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda x: x <> '')) as y from phrases a join phrases b on b.event_id = a.event_id + 12)
@@ -308,11 +308,11 @@ def _(t):
     return sessions.exit_failures(t.messages)
 
 
-@query("g14_facts", """select event_id, 'vercel_url' as name, 'Deploy URL: ' || regexp_extract(text, '(?i)https?://[\\w-]+\\.(?:vercel|netlify)\\.app\\b[^\\s)>\\]"'']*') as content from phrases where event_id % 12 = 8
- union all select event_id, 'database_url', 'Database: ' || regexp_replace(regexp_extract(text, 'postgres://[^\\s"'']+'), '//[^@]+@', '//***@') from phrases where event_id % 12 = 8
- union all select event_id, 'port_config', 'Port config: ' || regexp_extract(text, 'PORT: \\d+') from phrases where event_id % 12 = 5 union all select event_id, 'branch_info', 'Branch: ' || regexp_extract(text, 'branch: [\\w./-]+') from phrases where event_id % 12 = 5""")
+@query("g14_facts", """select event_id, 'vercel_url' as name, 'Deploy URL: ' || regexp_extract(text, '(?i)https?://[\\w-]+\\.(?:vercel|netlify)\\.app\\b[^\\s)>\\]"'']*') as content from phrases where regexp_matches(text, '(?i)https?://[\\w-]+\\.(?:vercel|netlify)\\.app\\b')
+ union all select event_id, 'database_url', 'Database: ' || regexp_replace(regexp_extract(text, 'postgres://[^\\s"'']+'), '//[^@]+@', '//***@') from phrases where regexp_matches(text, 'database: postgres://[^\\s"'']')
+ union all select event_id, 'port_config', 'Port config: ' || regexp_extract(text, 'PORT: \\d+') from phrases where regexp_matches(text, 'PORT: \\d{2}') union all select event_id, 'branch_info', 'Branch: ' || regexp_extract(text, 'branch: [\\w./-]+') from phrases where regexp_matches(text, 'branch: [\\w./-]{2}')""")
 def _(t):
-    return t.phrases.where("event_id % 12 in (5, 8)").select("event_id", F.explode(rules.facts(F.col("text"))).alias("f")).select("event_id", "f.name", "f.content")
+    return t.phrases.select("event_id", F.explode(rules.facts(F.col("text"))).alias("f")).select("event_id", "f.name", "f.content")
 
 
 @query("w8_first_seen", "select substr(sha256(substr(text,1,500)),1,16) as key, arg_min(session_id, (session_id, pos)) as session_id, arg_min(pos, (session_id, pos)) as pos, count(*) as n from messages group by 1")

@@ -168,17 +168,14 @@ def _(t):
     return advisory.confidence(mem, mem.where("false"), pat)
 
 
-@query("o16_eval_hit_rate", f"""with qs as (select vec_id as query_id, embedding as qe from embeddings where vec_id < 20),
+@query("o16_eval_hit_rate", f"""with qs as (select vec_id as query_id, embedding as qe from embeddings where vec_id % 50 = 0),
  s as (select query_id, m.id, m.pattern_key, list_dot_product(m.embedding::double[], qe::double[]) / (sqrt(list_dot_product(m.embedding::double[], m.embedding::double[])) * sqrt(list_dot_product(qe::double[], qe::double[]))) as similarity from qs, memories m where m.embedding is not null and m.superseded_by is null),
  r as (select *, row_number() over (partition by query_id order by round(similarity, 9) desc, id) as rank from s), k as (select *, coalesce(pattern_key, id) as key from r where rank <= 5),
  g as (select query_id, list(distinct key) as found, list(distinct id) as ids, max(similarity) as top, count(*) - count(distinct key) as repeats from k group by query_id),
  e as (select q.query_id, coalesce(list_contains(g.found, q.query_id::varchar) or list_contains(g.ids, q.query_id::varchar), false) as hit, top, coalesce(repeats,0) as repeats from qs q left join g using (query_id))
  select count(*) as queries, count(*) filter (where hit) as hits, round(count(*) filter (where hit) / count(*), 4) as hit_rate, round(avg(top), 4) as avg_top, cast(sum(repeats) as bigint) as repeats from e""")
 def _(t):
-    qs = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
-    mem = t.memories.where("embedding is not null and superseded_by is null").select("id", "pattern_key", "embedding")
-    # a stated, small set of queries against all rows: each row meets the packed set, not a row for each query
-    packed = qs.agg(F.collect_list(F.struct("query_id", "qe")).alias("qs"))
-    s = mem.join(F.broadcast(packed), how="cross").select("id", "pattern_key", "embedding", F.explode("qs").alias("x")).select("x.query_id", "id", "pattern_key", cosine(F.col("embedding"), F.col("x.qe")).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
-    return metrics.evaluate(s.withColumn("rank", rank), qs.select("query_id", F.array(F.col("query_id").cast("string")).alias("keys")), 5)
+    qs = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    mem = t.memories.where("embedding is not null and superseded_by is null")
+    best = retrieval.nearest(qs, mem.select("id", "embedding"), 5).withColumnRenamed("id", "query_id").withColumnRenamed("other", "id")
+    return metrics.evaluate(best.join(mem.select("id", "pattern_key"), "id"), qs.select(F.col("id").alias("query_id"), F.array("id").alias("keys")), 5)
