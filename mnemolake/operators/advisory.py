@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,20 +16,27 @@ COOLDOWN_MS = 300_000
 
 def cooldown(requests: DataFrame, ms: int = COOLDOWN_MS) -> DataFrame:
     """The requests (event_id, agent, tool, ts) that get advice: none for the same agent and tool within ms before. Only given
-    advice starts a cooldown, so the fold is sequential for each agent and tool; it keeps one time in hand, and reads a
-    sorted group batch by batch."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        last, keep = None, []
-        for t in pdf.ts:
-            ok = last is None or (t - last).total_seconds() * 1000 >= ms
-            last = t if ok else last
-            keep.append(ok)
-        return pdf[keep][["event_id", "agent", "tool", "ts"]]
-
-    rows = requests.withColumn("agent", F.coalesce("agent", F.lit("unknown")))
-    return rows.groupBy("agent", "tool").applyInPandas(fold, "event_id long, agent string, tool string, ts timestamp_ntz")
+    advice starts a cooldown, so the fold goes through each agent and tool in order of time; the rows come sorted from the
+    shuffle, which may spill, and a task holds one batch and the time of the last advice. A null agent is `unknown`, a null
+    tool one like any other; requests without a time get none."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, last = None, None
+        for pdf in batches:
+            kept = []
+            for key, at in pdf.groupby(["agent", "tool"], sort=False, dropna=False).indices.items():
+                key = tuple(None if pd.isna(x) else x for x in key)
+                ts = pdf.ts.to_numpy("datetime64[us]")[at]
+                ready, k = (last + np.timedelta64(ms, "ms") if key == of else ts[0]), 0
+                # from one given advice to the next: a step for each one given, not for each request
+                while (k := k + int(np.searchsorted(ts[k:], ready))) < len(ts):
+                    kept.append(at[k])
+                    of, last = key, ts[k]
+                    ready = last + np.timedelta64(ms, "ms")
+            yield pdf.iloc[sorted(kept)]
+
+    rows = requests.where("ts is not null").select("event_id", F.coalesce("agent", F.lit("unknown")).alias("agent"), "tool", "ts")
+    return rows.repartition("agent", "tool").sortWithinPartitions("agent", "tool", "ts", "event_id").mapInPandas(fold, "event_id long, agent string, tool string, ts timestamp_ntz")
 
 
 def confidence(memories: DataFrame, trajectories: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -45,6 +55,54 @@ def advice_memories(memories: DataFrame, query: Column, as_of: Column, limit: in
     return rows.where((F.col("similarity") >= least) & F.col("tier").isin("hot", "warm"))
 
 
+def advice_trajectories(trajectories: DataFrame, query: Column, limit: int = 3, least: float = 0.25) -> DataFrame:
+    """The three likest paths that ended well, of which those as like as `least` stay."""
+    rows = trajectories.where(F.col("outcome").isin("success", "partial") & F.col("embedding").isNotNull()).withColumn("similarity", cosine(F.col("embedding"), query))
+    return rows.orderBy(F.desc("similarity"), "id").limit(limit).where(F.col("similarity") >= least)
+
+
+def advice_patterns(patterns: DataFrame, memories: DataFrame, limit: int = 3) -> DataFrame:
+    """The three patterns that recur most, with the content of their representative."""
+    rows = patterns.where((F.col("recurrence_count") >= 2) & (F.coalesce("last_status", F.lit("pending")) != "wont_fix"))
+    best = rows.orderBy(F.desc("recurrence_count"), F.desc_nulls_first("impact_score"), "pattern_key").limit(limit)
+    return best.join(memories.select(F.col("id").alias("representative_memory_id"), F.col("content").alias("representative_content")), "representative_memory_id", "left")
+
+
+def advice(memories: DataFrame, trajectories: DataFrame, patterns: DataFrame) -> DataFrame:
+    """advisory_text, confidence, source_memory_ids, sources: one row, or none where no source has anything to say. The inputs
+    are the few rows that advice_memories, advice_trajectories and advice_patterns leave."""
+    # Headings and line formats.
+    say = lambda c, n: F.left(F.coalesce(c, F.lit("")), F.lit(n))
+    or_none = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "N/A").otherwise(say(c, 100))
+    sim, c = F.coalesce("similarity", F.lit(0.0)), F.col
+    of_memory = F.concat(F.format_string("  • [%s|sim:%.2f|imp:%d] ", c("type"), sim, c("importance")), say(c("content"), 200))
+    of_path = F.concat(F.format_string("  • [%s|sim:%.2f] ", c("outcome"), sim), or_none(c("problem")), F.lit(" → "), or_none(c("solution")))
+    of_pattern = F.concat(F.format_string("  • [×%d|impact:%.1f] ", c("recurrence_count"), F.coalesce("impact_score", F.lit(0.0))), F.when(F.coalesce("representative_content", F.lit("")) == "", c("pattern_key")).otherwise(say(c("representative_content"), 150)))
+    nothing = F.lit(None).cast("string")
+    lines = memories.select(F.lit(0).alias("part"), F.struct((-c("score")).alias("a"), (-sim).alias("b"), F.col("id").alias("c")).alias("at"), of_memory.alias("line"), sim.alias("weight"), F.col("id").alias("source"))
+    lines = lines.union(trajectories.select(F.lit(1), F.struct((-sim).alias("a"), F.lit(0.0).alias("b"), F.col("id").alias("c")), of_path, sim, nothing))
+    lines = lines.union(patterns.select(F.lit(2), F.struct((-c("recurrence_count")).cast("double").alias("a"), F.coalesce(-c("impact_score"), F.lit(float("-inf"))).alias("b"), F.col("pattern_key").alias("c")), of_pattern, F.lit(0.3), nothing))
+    heads = F.array(*map(F.lit, ("📝 Relevant Memories (", "🔄 Similar Past Paths (", "🔁 Recurring Patterns (")))
+    ordered = F.sort_array(F.collect_list(F.struct("at", "line", "source")))
+    parts = lines.groupBy("part").agg(ordered.alias("all"), F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    text = F.concat(F.get(heads, F.col("part")), F.col("n").cast("string"), F.lit("):\n"), F.array_join(F.col("all.line"), "\n"))
+    whole = parts.withColumn("text", text).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n\n").alias("advisory_text"),
+        F.round(F.least(F.lit(1.0), F.sum("weight") / F.sum("n")), 3).alias("confidence"),
+        F.coalesce(F.max(F.when(F.col("part") == 0, F.col("all.source"))), F.array().cast("array<string>")).alias("source_memory_ids"), F.sum("n").alias("sources"),
+    )
+    return whole.where("sources > 0")
+
+
+def advisory_rows(request: DataFrame, given: DataFrame, as_of: Column) -> DataFrame:
+    """The row to append for one request (agent, tool, args as JSON, project) and the advice given to it."""
+    context = F.to_json(F.struct("tool", "args", "agent", "project"))
+    agent = F.coalesce("agent", F.lit("unknown"))
+    rows = request.select(agent.alias("agent"), "tool", context.alias("action_context")).crossJoin(F.broadcast(given.drop("sources")))
+    named = F.concat(F.lit("adv_"), F.left(F.md5(F.concat_ws("\x1f", "agent", "tool", "action_context", as_of.cast("string"))), F.lit(16)))
+    return rows.select(named.alias("id"), "agent", "tool", "action_context", "advisory_text", "source_memory_ids", "confidence", F.lit(None).cast("boolean").alias("was_followed"), F.lit(None).cast("string").alias("outcome"), as_of.alias("created_at"))
+
+
 def evaluate_cycles(cycles: DataFrame, outcomes: DataFrame) -> DataFrame:
     """outcomes (id, actual_outcome, accuracy, notes) put on predicted cycles only, accuracy cut to 0..1."""
     acc = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("o.accuracy")))

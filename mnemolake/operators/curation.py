@@ -104,7 +104,7 @@ def feedback(memories: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def contradictions(memories: DataFrame, threshold: float, n: int = 30, tier: str = "hot") -> DataFrame:
-    """loser, keeper, similarity among the n most used memories of a tier. The first pair that a memory loses counts."""
+    """loser, keeper, similarity (and the pair's ranks ra, rb) among the n most used memories of a tier. The first pair that a memory loses counts."""
     from ..functions.vectors import cosine
 
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("access_count"), F.desc_nulls_last("importance"), "id")
@@ -118,4 +118,16 @@ def contradictions(memories: DataFrame, threshold: float, n: int = 30, tier: str
     keep_a = F.when(same, c("a.importance") >= c("b.importance")).otherwise(c("a.len") > c("b.len"))
     judged = pairs.select(F.when(keep_a, c("b.id")).otherwise(c("a.id")).alias("loser"), F.when(keep_a, c("a.id")).otherwise(c("b.id")).alias("keeper"), "similarity", c("a.rank").alias("ra"), c("b.rank").alias("rb"))
     first = F.row_number().over(Window.partitionBy("loser").orderBy("ra", "rb"))
-    return judged.withColumn("n", first).where("n = 1").select("loser", "keeper", F.round("similarity", 4).alias("similarity"))
+    return judged.withColumn("n", first).where("n = 1").select("loser", "keeper", F.round("similarity", 4).alias("similarity"), "ra", "rb")
+
+
+def supersede_contradicted(memories: DataFrame, judged: DataFrame) -> DataFrame:
+    """Diff of what contradictions judged: a loser is superseded by its keeper; a keeper gets its own tags, those of the last
+    memory that lost to it, and a mark. A memory may be both."""
+    none = F.array().cast("array<string>")
+    lost = judged.select(F.col("loser").alias("id"), "keeper")
+    tags = judged.join(memories.select(F.col("id").alias("loser"), F.col("tags").alias("more")), "loser")
+    won = tags.groupBy(F.col("keeper").alias("id")).agg(F.max_by(F.coalesce("more", none), F.struct("ra", "rb")).alias("more"))
+    both = memories.select("id", "superseded_by", "tags").join(lost.join(won, "id", "full"), "id")
+    union = F.array_distinct(F.concat(F.coalesce("tags", none), "more", F.array(F.lit("dedup_contradiction"))))
+    return both.select("id", F.coalesce("keeper", "superseded_by").alias("superseded_by"), F.when(F.col("more").isNotNull(), union).otherwise(F.col("tags")).alias("tags"))

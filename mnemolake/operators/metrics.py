@@ -45,10 +45,15 @@ def resync_patterns(memories: DataFrame) -> DataFrame:
     latest = F.struct(F.coalesce(F.col("last_seen"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")), F.col("created_at"), F.col("id"))
     return memories.where(F.col("pattern_key").isNotNull()).groupBy("pattern_key").agg(
         F.max("recurrence_count").alias("recurrence_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.max_by("status", latest).alias("last_status"), F.max_by("category", latest).alias("last_category"),
+        F.max_by("status", latest).alias("last_status"), F.max_by("category", latest).alias("last_category"), F.max_by("promoted_to", latest).alias("promoted_to"),
     )
 
 
+def top_patterns(patterns: DataFrame, n: int = 10) -> DataFrame:
+    """The patterns that recur most; of equal ones those of more impact, then the latest."""
+    return patterns.orderBy(F.desc("recurrence_count"), F.desc_nulls_last("impact_score"), F.desc("last_seen"), "pattern_key").limit(n)
+
+
 def top_contexts(memories: DataFrame, n: int = 5) -> DataFrame:
     return memories.where(active()).groupBy(F.coalesce("context", F.lit("none")).alias("context")).agg(F.count("*").alias("n"), F.round(F.avg("importance"), 1).alias("avg_importance")).orderBy(F.desc("n"), "context").limit(n)
 
@@ -70,20 +75,30 @@ def result_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("n"), F.round(F.avg("similarity"), 6).alias("avg_similarity"), F.round(F.max("similarity"), 6).alias("top_similarity"))
 
 
-def context_packs(memories: DataFrame, budget: int = 800, line: int = 150, top: int = 40) -> DataFrame:
-    """For each context: how many memories, their mean importance, and bullet lines by importance until the budget is full,
-    then a "+n more" line. Only the `top` memories of a context can enter its lines, so no group grows without bound."""
-    rows = memories.where(active() & F.col("context").isNotNull())
-    order = Window.partitionBy("context").orderBy(F.desc("importance"), F.desc("last_seen"), "id")
-    bullet = F.concat(F.lit("- ["), F.col("type"), F.lit("] "), F.left(F.regexp_replace("content", r"\s+", " "), F.lit(line)))
-    kept = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("context", "rank", bullet.alias("bullet"))
-    size = F.sum(F.length("bullet") + 1).over(Window.partitionBy("context").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    fits = kept.withColumn("size", size).where(F.col("size") <= budget)
-    lines = fits.groupBy("context").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "bullet"))), lambda x: x.bullet), "\n").alias("body"), F.count("*").alias("shown"))
-    counts = rows.groupBy("context").agg(F.count("*").alias("n"), F.round(F.avg("importance"), 1).alias("avg_importance"))
-    more = F.col("n") - F.coalesce("shown", F.lit(0))
-    pack = F.concat(F.coalesce("body", F.lit("")), F.when(more > 0, F.concat(F.lit("\n+"), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
-    return counts.join(lines, "context", "left").select("context", "n", "avg_importance", pack.alias("pack"))
+def context_packs(memories: DataFrame, as_of: Column, days: int = 7, budget: int = 800, line: int = 200) -> DataFrame:
+    """For each context (null or empty: unknown) of the hot and warm memories of the last days: how many, their mean
+    importance, and a text: a heading and one line for each by importance, then age. A text beyond the budget ends with how many
+    lines it leaves out, 20 characters being kept for that. A line has 7 characters at least, so no more than the budget's
+    seventh of a context can enter its text: only those are gathered."""
+    rows = memories.where(active() & F.col("tier").isin("hot", "warm") & (F.col("created_at") > as_of - F.make_dt_interval(F.lit(days))))
+    rows = rows.withColumn("context", F.coalesce(F.when(F.col("context") != "", F.col("context")), F.lit("unknown")))
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("content", F.lit("")), "\n", " "), r"^\s+|\s+$", "")
+    short = F.when(F.char_length(text) > line, F.concat(F.left(text, F.lit(line - 1)), F.lit("…"))).otherwise(text)
+    bullet = F.concat(F.lit("- ["), F.coalesce(F.when(F.col("type") != "", F.col("type")), F.lit("note")), F.lit("] "), short)
+    order = Window.partitionBy("context").orderBy(F.desc("importance"), F.desc("created_at"), "id")
+    first = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget // 7 + 1).select("context", "rank", bullet.alias("bullet"))
+    lines = first.groupBy("context").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "bullet"))), lambda x: x["bullet"]).alias("lines"))
+    counts = rows.groupBy("context").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("importance", F.lit(0))), 1).alias("avg_importance"))
+    head = F.concat(F.lit("### "), "context", F.lit(" ("), F.col("n").cast("string"), F.format_string(" memories, avg importance %.1f)\n", "avg_importance"))
+    packs = counts.join(lines, "context").withColumn("head", head)
+    whole = F.concat("head", F.array_join("lines", "\n"))
+    start = F.struct(F.char_length("head").alias("size"), F.lit(0).alias("shown"))
+    # lines are taken up to the first that does not fit; sizes only grow, so none after it fits either
+    grown = lambda acc, x: F.struct((acc["size"] + F.char_length(x) + 1).alias("size"), (acc["shown"] + (acc["size"] + F.char_length(x) + 1 <= budget - 20).cast("int")).alias("shown"))
+    packs = packs.withColumn("shown", F.aggregate("lines", start, grown)["shown"])
+    left_out = F.col("n") - F.array_position("lines", F.get("lines", F.col("shown"))) + 1
+    part = F.concat("head", F.array_join(F.transform(F.slice("lines", F.lit(1), F.col("shown")), lambda x: F.concat(x, F.lit("\n"))), ""), F.lit("- ... (+"), left_out.cast("string"), F.lit(" more)"))
+    return packs.select("context", "n", "avg_importance", F.when((F.char_length(whole) <= budget) & (F.size("lines") == F.col("n")), whole).otherwise(part).alias("pack"))
 
 
 def top_words(texts: DataFrame, key: str, text: str, stop: tuple[str, ...], n: int = 2) -> DataFrame:

@@ -56,10 +56,10 @@ def _(t):
     return curation.supersede_duplicates(_alike(t.memories)).select("id", "superseded_by", F.size("tags").cast("long").alias("n_tags"))
 
 
-@query("a10_pattern_resync", """with r as (select *, row_number() over (partition by pattern_key order by last_seen desc nulls last, created_at desc, id desc) as n from memories where pattern_key is not null)
- select pattern_key, max(recurrence_count) as recurrence_count, min(first_seen) as first_seen, max(last_seen) as last_seen, max(case when n = 1 then status end) as last_status, max(case when n = 1 then category end) as last_category from r group by 1""")
+@query("a10_pattern_resync", """with r as (select *, row_number() over (partition by pattern_key order by last_seen desc nulls last, created_at desc, id desc) as n, case when importance > 5 then 'TOOLS.md' end as promoted_to from memories where pattern_key is not null)
+ select pattern_key, max(recurrence_count) as recurrence_count, min(first_seen) as first_seen, max(last_seen) as last_seen, max(case when n = 1 then status end) as last_status, max(case when n = 1 then category end) as last_category, max(case when n = 1 then promoted_to end) as promoted_to from r group by 1""")
 def _(t):
-    return metrics.resync_patterns(t.memories)
+    return metrics.resync_patterns(t.memories.withColumn("promoted_to", F.when(F.col("importance") > 5, "TOOLS.md")))
 
 
 @query("a11_embedding_dims", "select distinct len(embedding) as dims from memories where embedding is not null")
@@ -93,11 +93,14 @@ def _(t):
     return t.memories.agg(F.count("*").alias("total"), F.count_if(F.col("created_at") >= F.lit("2024-02-28 00:00:00").cast("timestamp_ntz")).alias("recent"))
 
 
-@query("a19_context_packs", """with m as (select * from memories where superseded_by is null and context is not null), r as (select context, row_number() over (partition by context order by importance desc, last_seen desc, id) as rank, '- [' || type || '] ' || substr(regexp_replace(content, '\\s+', ' ', 'g'), 1, 150) as bullet from m),
- s as (select *, sum(length(bullet) + 1) over (partition by context order by rank) as size from r where rank <= 40), l as (select context, string_agg(bullet, chr(10) order by rank) as body, count(*) as shown from s where size <= 800 group by 1),
- c as (select context, count(*) as n, round(avg(importance),1) as avg_importance from m group by 1) select context, n, avg_importance, coalesce(body,'') || case when n - coalesce(shown,0) > 0 then chr(10) || '+' || cast(n - coalesce(shown,0) as varchar) || ' more' else '' end as pack from c left join l using (context)""")
+@query("a19_context_packs", """with m as (select id, type, importance, created_at, coalesce(nullif(context, ''), 'unknown') as context, regexp_replace(replace(content, chr(10), ' '), '^\\s+|\\s+$', '', 'g') as body from memories where superseded_by is null and tier in ('hot', 'warm') and created_at > {as_of} - interval 60 day),
+ c as (select context, count(*) as n, round(avg(importance), 1) as avg_importance from m group by 1), h as (select *, '### ' || context || ' (' || n || ' memories, avg importance ' || printf('%.1f', avg_importance) || ')' || chr(10) as head from c),
+ r as (select context, row_number() over (partition by context order by importance desc, created_at desc, id) as rank, '- [' || type || '] ' || case when length(body) > 200 then left(body, 199) || '…' else body end as bullet from m),
+ s as (select r.*, h.n, h.head, h.avg_importance, length(head) + sum(length(bullet) + 1) over (partition by r.context order by rank) as size, min(rank) over (partition by r.context, bullet) as same from r join h using (context)),
+ p as (select context, n, avg_importance, head, max(size) - 1 as total, string_agg(bullet, chr(10) order by rank) as whole, coalesce(string_agg(bullet || chr(10), '' order by rank) filter (where size <= 780), '') as shown, arg_min(same, rank) filter (where size > 780) as cut from s group by 1, 2, 3, 4)
+ select context, n, avg_importance, case when total <= 800 then head || whole else head || shown || '- ... (+' || (n - cut + 1) || ' more)' end as pack from p""")
 def _(t):
-    return metrics.context_packs(t.memories)
+    return metrics.context_packs(t.memories, as_of(), 60)
 
 
 @query("a24_top_words", """with w as (select lang, unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-záéíóúñ\\s]', ' ', 'g'), '\\s+')) as word from documents),
@@ -195,6 +198,11 @@ def _(t):
     return m.groupBy("x.family", "x.key").agg(F.count("*").alias("n"))
 
 
+@query("o17_top_patterns", "select pattern_key, recurrence_count, first_seen, last_seen, impact_score, last_status from patterns order by recurrence_count desc, impact_score desc nulls last, last_seen desc, pattern_key limit 10")
+def _(t):
+    return metrics.top_patterns(t.patterns).select("pattern_key", "recurrence_count", "first_seen", "last_seen", "impact_score", "last_status")
+
+
 @query("t7_alerts", """with d as (select query_kind, round(avg(duration_ms),2) as avg_ms, count(*) as n from query_log where created_at >= timestamp '2024-01-15 00:00:00' - interval 24 hour and created_at < timestamp '2024-01-15 00:00:00' group by 1)
  select *, case query_kind when 'inject' then 40.0e0 else 60.0e0 end as threshold, avg_ms >= case query_kind when 'inject' then 40.0e0 else 60.0e0 end as alert from d""")
 def _(t):

@@ -141,13 +141,24 @@ def _(t):
     return curation.quality(t.memories, as_of())
 
 
-@query("c2_contradictions", """with m as (select *, row_number() over (order by access_count desc nulls last, importance desc nulls last, id) as rank from (select * from memories where superseded_by is null and tier = 'hot' and embedding is not null order by access_count desc nulls last, importance desc nulls last, id limit 30)),
+_CONTRADICTED = """with m as (select *, row_number() over (order by access_count desc nulls last, importance desc nulls last, id) as rank from (select * from memories where superseded_by is null and tier = 'hot' and embedding is not null order by access_count desc nulls last, importance desc nulls last, id limit 30)),
  p as (select a.id as aid, b.id as bid, a.rank as ra, b.rank as rb, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s, case when abs(length(a.content) - length(b.content)) / greatest(length(a.content), length(b.content), 1) < 0.10 then a.importance >= b.importance else length(a.content) > length(b.content) end as keep_a
    from m a join m b on a.rank < b.rank where a.context is null or b.context is null or a.context = b.context),
- j as (select case when keep_a then bid else aid end as loser, case when keep_a then aid else bid end as keeper, s, ra, rb from p where s >= 0.15), n as (select *, row_number() over (partition by loser order by ra, rb) as n from j)
- select loser, keeper, round(s,4) as similarity from n where n = 1""")
+ j as (select case when keep_a then bid else aid end as loser, case when keep_a then aid else bid end as keeper, s, ra, rb from p where s >= 0.15), n as (select *, row_number() over (partition by loser order by ra, rb) as n from j)"""
+
+
+@query("c2_contradictions", _CONTRADICTED + """ select loser, keeper, round(s,4) as similarity from n where n = 1""")
+def _(t):
+    return curation.contradictions(t.memories, 0.15).select("loser", "keeper", "similarity")
+
+
+@query("u21_superseded", _CONTRADICTED + """, f as (select * from n where n = 1), t as (select f.keeper, arg_max(m.tags, f.ra * 1000 + f.rb) as more from f join memories m on m.id = f.loser group by 1)
+ select m.id, coalesce(f.keeper, m.superseded_by) as superseded_by, case when t.keeper is null then array_to_string(m.tags, '|')
+  else array_to_string(list_concat(m.tags, list_filter(t.more, lambda x: not list_contains(m.tags, x)), ['dedup_contradiction']), '|') end as tags
+ from memories m left join f on f.loser = m.id left join t on t.keeper = m.id where f.loser is not null or t.keeper is not null""")
 def _(t):
-    return curation.contradictions(t.memories, 0.15)
+    diff = curation.supersede_contradicted(t.memories, curation.contradictions(t.memories, 0.15))
+    return diff.select("id", "superseded_by", F.array_join("tags", "|").alias("tags"))
 
 
 @query("u25_learnings", """select id, case when accuracy < 0.5 then 'Learning: Predicted "' || prediction || '" for tool:' || tool || ', but actual outcome was "' || actual_outcome || '". ' || case when evaluation_notes is not null then 'Notes: ' || evaluation_notes else '' end

@@ -168,6 +168,27 @@ def _(t):
     return advisory.confidence(mem, mem.where("false"), pat)
 
 
+_ADVICE = f"""with m as (select * from (select * from ({_BASE}) where importance >= 5 order by score desc, similarity desc, id limit 5) where similarity >= 0.0 and tier in ('hot','warm')),
+ j as (select * from (select id, content as problem, agent as solution, case status when 'resolved' then 'success' when 'promoted' then 'partial' else 'failed' end as outcome, {_COS} as similarity from memories where type = 'action' and embedding is not null) where outcome <> 'failed' order by similarity desc, id limit 3),
+ p as (select * from (select * from patterns where recurrence_count >= 2 and coalesce(last_status,'pending') <> 'wont_fix' order by recurrence_count desc, impact_score desc nulls first, pattern_key limit 3) p left join (select id as mid, content from memories) on mid = representative_memory_id),
+ l as (select 0 as part, row_number() over (order by score desc, similarity desc, id) as n, '  • [' || type || '|sim:' || printf('%.2f', similarity) || '|imp:' || importance || '] ' || left(content, 200) as line, similarity as weight, id from m
+  union all select 1, row_number() over (order by similarity desc, id), '  • [' || outcome || '|sim:' || printf('%.2f', similarity) || '] ' || left(problem, 100) || ' → ' || coalesce(left(solution, 100), 'N/A'), similarity, null from j where similarity >= 0.0
+  union all select 2, row_number() over (order by recurrence_count desc, impact_score desc nulls first, pattern_key), '  • [×' || recurrence_count || '|impact:' || printf('%.1f', impact_score) || '] ' || coalesce(left(content, 150), pattern_key), 0.3e0, null from p),
+ g as (select part, case part when 0 then '📝 Relevant Memories (' when 1 then '🔄 Similar Past Paths (' else '🔁 Recurring Patterns (' end || count(*) || '):' || chr(10) || string_agg(line, chr(10) order by n) as text, sum(weight) as weight, count(*) as c from l group by 1),
+ o as (select string_agg(text, chr(10) || chr(10) order by part) as advisory_text, round(least(1.0e0, sum(weight) / sum(c)), 3) as confidence from g)
+ select 'unknown' as agent, 'deploy' as tool, '{{"tool":"deploy","args":"{{}}"}}' as action_context, advisory_text, (select coalesce(string_agg(id, ',' order by n), '') from l where part = 0) as source_ids, confidence, {{as_of}} as created_at from o where confidence is not null"""
+
+
+@query("c8_advice", _ADVICE)
+def _(t):
+    vector = retrieval._vector(Q)
+    ended = F.when(F.col("status") == "resolved", "success").when(F.col("status") == "promoted", "partial").otherwise("failed")
+    paths = t.memories.where("type = 'action'").select("id", F.col("content").alias("problem"), F.col("agent").alias("solution"), ended.alias("outcome"), "embedding")
+    given = advisory.advice(advisory.advice_memories(t.memories, vector, as_of(), least=0.0), advisory.advice_trajectories(paths, vector, least=0.0), advisory.advice_patterns(t.patterns, t.memories))
+    request = t.spark.range(1).selectExpr("cast(null as string) as agent", "'deploy' as tool", "'{}' as args", "cast(null as string) as project")
+    return advisory.advisory_rows(request, given, as_of()).select("agent", "tool", "action_context", "advisory_text", F.array_join("source_memory_ids", ",").alias("source_ids"), "confidence", "created_at")
+
+
 @query("o16_eval_hit_rate", f"""with qs as (select vec_id as query_id, embedding as qe from embeddings where vec_id % 50 = 0),
  s as (select query_id, m.id, m.pattern_key, list_dot_product(m.embedding::double[], qe::double[]) / (sqrt(list_dot_product(m.embedding::double[], m.embedding::double[])) * sqrt(list_dot_product(qe::double[], qe::double[]))) as similarity from qs, memories m where m.embedding is not null and m.superseded_by is null),
  r as (select *, row_number() over (partition by query_id order by round(similarity, 9) desc, id) as rank from s), k as (select *, coalesce(pattern_key, id) as key from r where rank <= 5),
