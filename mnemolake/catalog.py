@@ -1,4 +1,4 @@
 """All queries of the memory engine by name, and the same in SQL."""
 
-from .plans import analytics, ingest, mutations, retrieval, writes  # noqa: F401  (importing them registers their queries)
+from .plans import analytics, indexes, ingest, mutations, retrieval, writes  # noqa: F401  (importing them registers their queries)
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -6,7 +6,9 @@ import hashlib
 import math
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,16 @@ def composite_score(similarity: Column, as_of: Column) -> Column:
     )
 
 
+def filled(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers as the rows of a matrix, shorter ones filled up with zeros, and their lengths. A null component is no
+    number: such a row is like nothing, not even to itself."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+    return out, sizes
+
+
 class Embedder(Protocol):
     dims: int
 

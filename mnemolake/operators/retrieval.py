@@ -90,7 +90,8 @@ def neighbours(memories: DataFrame, threshold: float, k: int = 10, block: int =
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """id (of the query), other, similarity, rank: the k nearest rows of each query (both: id, embedding), in blocks."""
+    """id (of the query), other, similarity, rank: the k nearest rows of each query (both: id, embedding), in blocks. Vectors of
+    different lengths are unlike (0). ivf.nearest gives the same, approximately, from an index of rows."""
     return _ranked(_block_pairs(queries, -2.0, block, k, rows), k)
 
 
@@ -98,30 +99,51 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where(F.col("rank") <= k)
 
 
-def _block_pairs(rows: DataFrame, threshold: float, block: int, k: int | None = None, others: DataFrame | None = None, inclusive: bool = False) -> DataFrame:
-    """id, other, similarity (to 9 digits) of pairs above the threshold (inclusive: or at it), of rows with each other or with
-    others; k: the best k of each id from each pair of blocks, which loses none of its best k of all."""
+PACKED = "ids array<string>, m binary, sizes binary"
+
+
+def packed(rows: DataFrame, block: int, by: str | None = None) -> DataFrame:
+    """Rows (id, embedding) as blocks of at most `block`, one row each; with by, rows of one block have one value of it."""
     import numpy as np
     import pyarrow as pa
 
+    from ..functions.vectors import filled
+
     def pack(batches):
         for whole in batches:
-            for at in range(0, len(whole), block):
-                b = whole.slice(at, block)
-                yield pa.RecordBatch.from_pydict({"ids": pa.array([b.column(0).to_pylist()], pa.list_(pa.string())), "m": pa.array([np.array(b.column(1).to_pylist(), np.float64).tobytes()], pa.binary()), "n": pa.array([len(b)], pa.int32())})
-
-    own = others is None
+            groups = [(None, whole)]
+            if by is not None:
+                value = whole.column(2).to_numpy(zero_copy_only=False)
+                groups = [(int(g), whole.filter(pa.array(value == g))) for g in np.unique(value)]
+            for g, rest in groups:
+                for at in range(0, len(rest), block):
+                    b = rest.slice(at, block)
+                    m, sizes = filled(b.column(1))
+                    cols = {"ids": pa.array([b.column(0).to_pylist()], pa.list_(pa.string())), "m": pa.array([m.tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary())}
+                    yield pa.RecordBatch.from_pydict(cols | ({by: pa.array([g], pa.int32())} if by is not None else {}))
+
+    return rows.select("id", "embedding", *([F.col(by).cast("int").alias(by)] if by else [])).mapInArrow(pack, PACKED + (f", {by} int" if by else ""))
+
+
+def multiplied(met: DataFrame, threshold: float, k: int | None, own: bool, inclusive: bool = False) -> DataFrame:
+    """id, other, similarity (to 9 digits) of the pairs in pairs of blocks (x_ids, x_m, x_sizes, y_ids, ...) that pass the
+    threshold, k for each id of a pair of blocks at most; own: a row is no partner of itself."""
+    import numpy as np
+    import pyarrow as pa
 
-    def packed(df, side):
-        return df.mapInArrow(pack, "ids array<string>, m binary, n int").select(*(F.col(c).alias(f"{side}_{c}") for c in ("ids", "m", "n")))
+    def read(r, side):
+        sizes = np.frombuffer(r[f"{side}_sizes"], np.int64)
+        return np.frombuffer(r[f"{side}_m"]).reshape(len(sizes), -1), sizes, np.array(r[f"{side}_ids"], object)
 
     def meet(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                x, y = (np.frombuffer(r[f"{s}_m"]).reshape(r[f"{s}_n"], -1) for s in "xy")
-                x_ids, y_ids = (np.array(r[f"{s}_ids"], object) for s in "xy")
+            for n in range(len(batch)):
+                (r,) = batch.slice(n, 1).to_pylist()
+                (x, x_sizes, x_ids), (y, y_sizes, y_ids) = read(r, "x"), read(r, "y")
+                width = min(x.shape[1], y.shape[1])  # longer vectors of either side have no partner of their length
                 nx, ny = (np.linalg.norm(v, axis=1) for v in (x, y))
-                sim = np.round((x @ y.T) / np.maximum(np.outer(nx, ny), 1e-300), 9)
+                sim = np.round((x[:, :width] @ y[:, :width].T) / np.maximum(np.outer(nx, ny), 1e-300), 9)
+                sim[x_sizes[:, None] != y_sizes[None, :]] = 0.0
                 i, j = np.nonzero(sim >= threshold if inclusive else sim > threshold)
                 if own:
                     apart = x_ids[i] != y_ids[j]
@@ -135,8 +157,19 @@ def _block_pairs(rows: DataFrame, threshold: float, block: int, k: int | None =
                     i, j = i[best], j[best]
                 yield pa.RecordBatch.from_pydict({"id": pa.array(x_ids[i].tolist(), pa.string()), "other": pa.array(y_ids[j].tolist(), pa.string()), "similarity": pa.array(sim[i, j], pa.float64())})
 
-    left, right = packed(rows, "x"), packed(rows if own else others, "y")
-    return left.join(right, how="cross").mapInArrow(meet, "id string, other string, similarity double")  # a row is a block
+    return met.select(*(f"{s}_{c}" for s in "xy" for c in ("ids", "m", "sizes"))).mapInArrow(meet, "id string, other string, similarity double")
+
+
+def sided(blocks: DataFrame, side: str) -> DataFrame:
+    return blocks.select(*(F.col(c).alias(f"{side}_{c}") for c in blocks.columns))
+
+
+def _block_pairs(rows: DataFrame, threshold: float, block: int, k: int | None = None, others: DataFrame | None = None, inclusive: bool = False) -> DataFrame:
+    """id, other, similarity of pairs above the threshold (inclusive: or at it), of rows with each other or with others; k: the
+    best k of each id from each pair of blocks, which loses none of its best k of all."""
+    own = others is None
+    left, right = sided(packed(rows, block), "x"), sided(packed(rows if own else others, block), "y")
+    return multiplied(left.join(right, how="cross"), threshold, k, own, inclusive)  # a row is a block
 
 
 def recent_pairs(memories: DataFrame, n: int, threshold: float, limit: int, older_first: bool = False) -> DataFrame:
