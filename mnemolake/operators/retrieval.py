@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import active, truncate, truncate_lines
 from ..functions.vectors import composite_score, cosine
+from ..sources.stages import staged
 
 
 def _vector(query: list[float]) -> Column:
@@ -102,48 +103,60 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 PACKED = "ids array<string>, m binary, sizes binary"
 
 
-def packed(rows: DataFrame, block: int, by: str | None = None) -> DataFrame:
-    """Rows (id, embedding) as blocks of at most `block`, one row each; with by, rows of one block have one value of it."""
+def packed(rows: DataFrame, block: int, by: str | None = None, kind: str = "int") -> DataFrame:
+    """Rows (id, embedding) as blocks of at most `block`, one row each; with by (of that kind), rows of one block share it."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     from ..functions.vectors import filled
 
     def pack(batches):
         for whole in batches:
-            groups = [(None, whole)]
-            if by is not None:
-                value = whole.column(2).to_numpy(zero_copy_only=False)
-                groups = [(int(g), whole.filter(pa.array(value == g))) for g in np.unique(value)]
-            for g, rest in groups:
+            for g in pc.unique(whole.column(2)) if by is not None else [None]:
+                rest = whole.filter(pc.equal(whole.column(2), g)) if by is not None else whole
                 for at in range(0, len(rest), block):
                     b = rest.slice(at, block)
                     m, sizes = filled(b.column(1))
                     cols = {"ids": pa.array([b.column(0).to_pylist()], pa.list_(pa.string())), "m": pa.array([m.tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary())}
-                    yield pa.RecordBatch.from_pydict(cols | ({by: pa.array([g], pa.int32())} if by is not None else {}))
+                    yield pa.RecordBatch.from_pydict(cols | ({by: pa.array([g.as_py()], whole.column(2).type)} if by is not None else {}))
 
-    return rows.select("id", "embedding", *([F.col(by).cast("int").alias(by)] if by else [])).mapInArrow(pack, PACKED + (f", {by} int" if by else ""))
+    return rows.select("id", "embedding", *([F.col(by).cast(kind).alias(by)] if by else [])).mapInArrow(pack, PACKED + (f", {by} {kind}" if by else ""))
 
 
-def multiplied(met: DataFrame, threshold: float, k: int | None, own: bool, inclusive: bool = False) -> DataFrame:
-    """id, other, similarity (to 9 digits) of the pairs in pairs of blocks (x_ids, x_m, x_sizes, y_ids, ...) that pass the
-    threshold, k for each id of a pair of blocks at most; own: a row is no partner of itself."""
+def _similarities(r: dict):
+    """Of one row of met blocks: the ids of both sides and the matrix of their similarities, to 9 digits. Vectors of different
+    lengths, and zero vectors, are unlike (0)."""
     import numpy as np
-    import pyarrow as pa
 
-    def read(r, side):
+    def read(side):
         sizes = np.frombuffer(r[f"{side}_sizes"], np.int64)
         return np.frombuffer(r[f"{side}_m"]).reshape(len(sizes), -1), sizes, np.array(r[f"{side}_ids"], object)
 
+    (x, x_sizes, x_ids), (y, y_sizes, y_ids) = read("x"), read("y")
+    width = min(x.shape[1], y.shape[1])  # longer vectors of either side have no partner of their length
+    nx, ny = (np.linalg.norm(v, axis=1) for v in (x, y))
+    sim = np.round((x[:, :width] @ y[:, :width].T) / np.maximum(np.outer(nx, ny), 1e-300), 9)
+    sim[x_sizes[:, None] != y_sizes[None, :]] = 0.0
+    return x_ids, y_ids, sim
+
+
+def _met(met: DataFrame) -> DataFrame:
+    return met.select(*(f"{s}_{c}" for s in "xy" for c in ("ids", "m", "sizes")))
+
+
+def multiplied(met: DataFrame, threshold: float, k: int | None, own: bool, inclusive: bool = False, ties: bool = False) -> DataFrame:
+    """id, other, similarity (to 9 digits) of the pairs in pairs of blocks (x_ids, x_m, x_sizes, y_ids, ...) that pass the
+    threshold, k for each id of a pair of blocks at most (ties: and those as like as the last of them); own: a row is no partner
+    of itself."""
+    import numpy as np
+    import pyarrow as pa
+
     def meet(batches):
         for batch in batches:
             for n in range(len(batch)):
                 (r,) = batch.slice(n, 1).to_pylist()
-                (x, x_sizes, x_ids), (y, y_sizes, y_ids) = read(r, "x"), read(r, "y")
-                width = min(x.shape[1], y.shape[1])  # longer vectors of either side have no partner of their length
-                nx, ny = (np.linalg.norm(v, axis=1) for v in (x, y))
-                sim = np.round((x[:, :width] @ y[:, :width].T) / np.maximum(np.outer(nx, ny), 1e-300), 9)
-                sim[x_sizes[:, None] != y_sizes[None, :]] = 0.0
+                x_ids, y_ids, sim = _similarities(r)
                 i, j = np.nonzero(sim >= threshold if inclusive else sim > threshold)
                 if own:
                     apart = x_ids[i] != y_ids[j]
@@ -153,11 +166,39 @@ def multiplied(met: DataFrame, threshold: float, k: int | None, own: bool, inclu
                     place[sorted(range(len(y_ids)), key=y_ids.__getitem__)] = np.arange(len(y_ids))
                     order = np.lexsort((place[j], -sim[i, j], i))
                     i, j = i[order], j[order]
-                    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    start = np.searchsorted(i, i)
+                    best = np.arange(len(i)) - start < k
+                    if ties:
+                        least = np.minimum(start + k - 1, np.searchsorted(i, i, "right") - 1)
+                        best = sim[i, j] >= sim[i[least], j[least]]
                     i, j = i[best], j[best]
                 yield pa.RecordBatch.from_pydict({"id": pa.array(x_ids[i].tolist(), pa.string()), "other": pa.array(y_ids[j].tolist(), pa.string()), "similarity": pa.array(sim[i, j], pa.float64())})
 
-    return met.select(*(f"{s}_{c}" for s in "xy" for c in ("ids", "m", "sizes"))).mapInArrow(meet, "id string, other string, similarity double")
+    return _met(met).mapInArrow(meet, "id string, other string, similarity double")
+
+
+def forest(near):
+    """Of a matrix that says which rows and columns are linked: as few of the links as connect all that are connected, at most
+    one for each row and each column."""
+    import numpy as np
+
+    out_i, out_j = [], []
+    rows_left, columns_left = near.any(1), near.any(0)
+    while rows_left.any():
+        rows = np.array([rows_left.argmax()])
+        rows_left[rows] = False
+        while len(rows):
+            columns = np.flatnonzero(near[rows].any(0) & columns_left)
+            columns_left[columns] = False
+            out_i.append(rows[near[np.ix_(rows, columns)].argmax(0)])
+            out_j.append(columns)
+            rows = np.flatnonzero(near[:, columns].any(1) & rows_left) if len(columns) else columns
+            rows_left[rows] = False
+            if len(rows):
+                out_i.append(rows)
+                out_j.append(columns[near[np.ix_(rows, columns)].argmax(1)])
+    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return cat(out_i), cat(out_j)
 
 
 def sided(blocks: DataFrame, side: str) -> DataFrame:
@@ -172,6 +213,36 @@ def _block_pairs(rows: DataFrame, threshold: float, block: int, k: int | None =
     return multiplied(left.join(right, how="cross"), threshold, k, own, inclusive)  # a row is a block
 
 
+def scoped_met(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
+    """Pairs of blocks of rows of left and rows of right (both: id, scope, embedding) that have one scope. Rows are sorted by scope
+    into blocks, so that a scope with a third of all rows becomes many; blocks of a scope meet by their numbers, dealt evenly."""
+
+    def blocks(df: DataFrame, side: str) -> DataFrame:
+        rows = df.select("id", "embedding", "scope").where("embedding is not null").repartitionByRange("scope", "id").sortWithinPartitions("scope", "id")
+        return sided(staged(packed(rows, block, "scope", "string").withColumn("block", F.monotonically_increasing_id()), "blocks"), side)
+
+    x, y = blocks(left, "x"), blocks(right, "y")
+    numbers = x.select("x_scope", "x_block").join(y.select("y_scope", "y_block"), F.col("x_scope") == F.col("y_scope")).select("x_block", "y_block")
+    return numbers.repartition("x_block", "y_block").join(x, "x_block").join(y, "y_block")
+
+
+def scoped_links(left: DataFrame, right: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """a, b: links between rows of left and rows of right (both: id, scope, embedding) of one scope that are as like as the
+    threshold. Not all of them, which in a dense group would be the square of it, but enough to connect all that are connected."""
+
+    def meet(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for n in range(len(batch)):
+                (r,) = batch.slice(n, 1).to_pylist()
+                x_ids, y_ids, sim = _similarities(r)
+                i, j = forest(sim >= threshold)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(x_ids[i].tolist(), pa.string()), "b": pa.array(y_ids[j].tolist(), pa.string())})
+
+    return _met(scoped_met(left, right, block)).mapInArrow(meet, "a string, b string")
+
+
 def recent_pairs(memories: DataFrame, n: int, threshold: float, limit: int, older_first: bool = False) -> DataFrame:
     """Near pairs among the n newest active memories: a fixed number of rows on either side."""
     newest = memories.where(active() & F.col("embedding").isNotNull()).orderBy(F.desc("created_at"), "id").limit(n).select("id", "embedding", "created_at")
