@@ -14,6 +14,17 @@ from ..functions.vectors import cosine
 COOLDOWN_MS = 300_000
 
 
+def given(ts: np.ndarray, last: int | None, pause: int) -> tuple[list[int], int | None]:
+    """Of times in order: the places of those that are at least a pause after the last one given, and the last one given then.
+    A step for each one given, not for each time."""
+    kept: list[int] = []
+    k = 0
+    while (k := k + int(np.searchsorted(ts[k:], ts[0] if last is None else last + pause))) < len(ts):
+        kept.append(k)
+        last = int(ts[k])
+    return kept, last
+
+
 def cooldown(requests: DataFrame, ms: int = COOLDOWN_MS) -> DataFrame:
     """The requests (event_id, agent, tool, ts) that get advice: none for the same agent and tool within ms before. Only given
     advice starts a cooldown, so the fold goes through each agent and tool in order of time; the rows come sorted from the
@@ -26,13 +37,9 @@ def cooldown(requests: DataFrame, ms: int = COOLDOWN_MS) -> DataFrame:
             kept = []
             for key, at in pdf.groupby(["agent", "tool"], sort=False, dropna=False).indices.items():
                 key = tuple(None if pd.isna(x) else x for x in key)
-                ts = pdf.ts.to_numpy("datetime64[us]")[at]
-                ready, k = (last + np.timedelta64(ms, "ms") if key == of else ts[0]), 0
-                # from one given advice to the next: a step for each one given, not for each request
-                while (k := k + int(np.searchsorted(ts[k:], ready))) < len(ts):
-                    kept.append(at[k])
-                    of, last = key, ts[k]
-                    ready = last + np.timedelta64(ms, "ms")
+                places, now = given(pdf.ts.to_numpy("datetime64[us]").astype(np.int64)[at], last if key == of else None, ms * 1000)
+                kept += at[places].tolist()
+                of, last = key, now
             yield pdf.iloc[sorted(kept)]
 
     rows = requests.where("ts is not null").select("event_id", F.coalesce("agent", F.lit("unknown")).alias("agent"), "tool", "ts")

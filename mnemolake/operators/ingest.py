@@ -97,8 +97,8 @@ DECIDED = "cand_id string, final_id string, found boolean, method string"
 class Live:
     """One group's memories while its candidates come one after another."""
 
-    def __init__(self, threshold: float):
-        self.threshold = threshold
+    def __init__(self, threshold: float, replace: bool = True):
+        self.threshold, self.replace = threshold, replace
         self.vectors: dict[str, np.ndarray | None] = {}
         self.scope_of: dict[str, str] = {}
         self.members: dict[str, dict[str, set]] = {}  # scope: class: ids of open memories that have that vector now
@@ -147,13 +147,15 @@ class Live:
         match = (self._latest(self.keys[key]) if self.keys.get(key) else None) if key is not None else self.nearest(name) if name is not None else None
         old = self.seen.get(match) if match is not None else None
         ranked = max(last, old[0], key=self._rank) if old else last
-        self.put(match or id_, name, key, self.is_open[match] if old else True, (ranked, old[1] if old else created))
+        if self.replace or match is None:
+            self.put(match or id_, name, key, self.is_open[match] if old else True, (ranked, old[1] if old else created))
         return match or id_, None if match is None else "pattern_key" if key is not None else "semantic"
 
 
-def decide(candidates: DataFrame, memories: DataFrame, as_of: Column, settings: Settings = Settings()) -> DataFrame:
+def decide(candidates: DataFrame, memories: DataFrame, as_of: Column, settings: Settings = Settings(), replace: bool = True) -> DataFrame:
     """cand_id, final_id, found, method for each candidate (id, pattern_key, context, category, embedding, created_at, last_seen):
-    the memory that it becomes part of, or its own id."""
+    the memory that it becomes part of, or its own id. replace: a memory found takes the candidate's vector; otherwise it stays as
+    it is, and the candidate is left aside."""
     c = staged(
         candidates.select(
             "id", F.coalesce("created_at", as_of).alias("at"), F.col("pattern_key").alias("key"), F.when(F.col("embedding").isNotNull(), _class(candidates)).alias("class"), _scope(candidates).alias("scope"),
@@ -215,7 +217,7 @@ def decide(candidates: DataFrame, memories: DataFrame, as_of: Column, settings:
             out = []
             for r in pdf.itertuples(index=False):
                 if r.group != group:
-                    group, live = r.group, Live(threshold)
+                    group, live = r.group, Live(threshold, replace)
                 if r.kind == VECTOR:
                     live.vector(r[5], r.scope, r.embedding)
                     continue
@@ -306,3 +308,13 @@ def _pattern_rows(rows: DataFrame, counted: DataFrame, old: DataFrame, as_of: Co
 def store(candidates: DataFrame, memories: DataFrame, as_of: Column, settings: Settings = Settings(), embedder: Embedder | None = None) -> DataFrame:
     """The new snapshot of memories."""
     return store_all(candidates, memories, as_of, settings, embedder).memories
+
+
+def novel(candidates: DataFrame, memories: DataFrame, as_of: Column, threshold: float = 0.92) -> DataFrame:
+    """candidates (id, created_at, embedding) with `twin`: the open memory of any scope and age, or the earlier novel candidate, that
+    is as like as the threshold; null if there is none."""
+    nothing = {c: F.lit(None).cast("string") for c in ("context", "category", "pattern_key")}
+    rows = candidates.select("id", "created_at", "embedding").withColumns(nothing).withColumn("last_seen", F.col("created_at"))
+    known = memories.select("id", "embedding", "superseded_by", "last_seen").withColumns(nothing).withColumn("created_at", as_of)
+    got = decide(rows, known, as_of, Settings(dedupe_similarity=threshold), replace=False)
+    return candidates.join(got.select(F.col("cand_id").alias("id"), F.when(F.col("found"), F.col("final_id")).alias("twin")), "id")
