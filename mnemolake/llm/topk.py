@@ -8,11 +8,14 @@ set against all rows, in blocks: both sides are packed into few rows first, and
 
 Ties go to the smaller vec_id. A query's own rows (those with its vec_id) are no candidates. Vectors that are null or hold a
 null or non-finite component take no part, nor do rows without vec_id; vectors shorter than others lack the missing terms.
-Repeated rows are candidates each; an id that repeats among the queries asks once, with the smallest of its vectors. An empty table gives an empty result; other columns are ignored.
+Repeated rows are candidates each; an id that repeats among the queries asks once, with the smallest of its vectors. An empty
+table gives an empty result; other columns are ignored. Scaled components beyond a long count as its ends; scores are then
+added up in Python's whole numbers, and those beyond a long are returned as its ends, ranked as such between blocks.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,10 +75,11 @@ def block_hits(query, rows, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     place[by_id] = np.arange(n)  # candidates in the order of their ids: ties by place
     ids = ids[by_id]
     n_terms = int(max(terms.max(initial=-1), q_terms.max(initial=-1))) + 1
-    largest = int(np.abs(q_weights).max(initial=0)) * int(np.abs(weights).max(initial=0)) * n_terms
-    kind = np.int32 if largest < 2**31 else np.int64
-    if largest * n >= 2**62:
-        raise OverflowError("scores must fit a long, with room for ties")
+    most = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))  # noqa: E731  the least long has no absolute value
+    largest = most(q_weights) * most(weights) * n_terms
+    wide = largest * n >= 2**62  # no room in a long for a score and its ties
+    kind = object if wide else np.int32 if largest < 2**31 else np.int64
+    as_kind = int if wide else kind
     row = place[np.repeat(np.arange(n), np.diff(ends, prepend=0))]
     order = np.argsort(terms, kind="stable")
     bounds = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
@@ -95,12 +99,19 @@ def block_hits(query, rows, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         for t, w in zip(q_terms[start:end].tolist(), q_weights[start:end].tolist(), strict=True):
             at, weight = postings[t]
             if at is None:
-                score += np.multiply(weight, kind(w), out=part)
+                score += np.multiply(weight, as_kind(w), out=part)
             else:
-                score[at] += weight * kind(w)
+                score[at] += weight * as_kind(w)
         start = end
-        rank = score.astype(np.int64) * n + down  # unique: by score, then by place
         lo, hi = np.searchsorted(ids, [q, q + 1])  # the query's own rows
+        if wide:
+            bounded = [max(-(2**63), min(2**63 - 1, s)) for s in score.tolist()]
+            best = np.array(heapq.nsmallest(k, (i for i in range(n) if not lo <= i < hi), key=lambda i: (-bounded[i], i)), np.int64)
+            out_q.append(np.full(len(best), q))
+            out_v.append(ids[best])
+            out_s.append(np.array([bounded[i] for i in best], np.int64))
+            continue
+        rank = score.astype(np.int64) * n + down  # unique: by score, then by place
         rank[lo:hi] = np.iinfo(np.int64).min
         best = np.argpartition(rank, n - k)[n - k :] if n > k else np.arange(n)
         best = best[(best < lo) | (best >= hi)]

@@ -83,10 +83,19 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false")).count() == 0
 
 
-def test_scores_too_large_are_refused():
-    one = lambda x: (np.array([0]), np.array([1]), np.array([0], np.int32), np.array([x]))
-    with pytest.raises(OverflowError):
-        topk.block_hits(one(2**40), one(2**40), 3)
+def test_huge_components(spark):
+    """A finite component may be as large as it likes: its row is ranked, no row is left out, and the query does not stop."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 1, 3).tolist()) for i in range(60)] + [(60, [1e300, 1.0, -1e300]), (61, [-1e300, 0.0, 0.0]), (62, [1e15, 1.0, 1.0]), (80, [2e15, -1.0, 3.0])]
+    end = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = [(i, [end(math.floor(64 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q, v in whole:
+        if q % 20 == 0:
+            best = sorted((-end(sum(a * b for a, b in zip(v, w))), i) for i, w in whole if i != q)[:5]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), k=5)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
 def test_dual_descent_separates():
