@@ -54,9 +54,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features, modulus: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(found, pa.binary())], ["doc_id", "y", "ids"])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sorted((d, i, y) for b in batches for d, y, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-        rows = [np.frombuffer(i, "<i4") for _, i, _ in own[:sample]]
-        model = nbsvm.fit(rows, np.array([y for _, _, y in own[:sample]]), features.bits, **(how or {}))
+        # a few large blocks instead of one for each row: a worker that lives on gives their memory back
+        blocks, places = [], []
+        for b in batches:
+            ends = np.cumsum([len(x.as_buffer()) for x in b.column(2)], dtype=np.int64) // 4
+            blocks.append(np.concatenate([np.frombuffer(x.as_buffer(), "<i4") for x in b.column(2)]) if len(b) else np.zeros(0, "<i4"))
+            places += [(d, y, len(blocks) - 1, s, e) for d, y, s, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        own = sorted(places)[:sample]  # a doc_id has one row
+        model = nbsvm.fit([blocks[k][s:e] for _, _, k, s, e in own], np.array([y for _, y, *_ in own]), features.bits, **(how or {}))
         yield pa.RecordBatch.from_arrays([pa.array([model.pack()], pa.binary())], ["model"])
 
     got = rows.select("doc_id", "text", "y").mapInArrow(ids, "doc_id long, y int, ids binary").repartition(1).mapInArrow(one, "model binary").collect()

@@ -123,10 +123,12 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost:
     by its own length so that long and short texts weigh the same. Returns w times scale, with the constant last."""
     size = len(scale)
     w, bias = np.zeros(size, np.float64), 0.0
-    values = []
-    for x in rows:
+    ends = np.cumsum([len(x) for x in rows], dtype=np.int64)
+    flat = np.empty(int(ends[-1]) if len(rows) else 0, np.float32)  # one block, which goes back to the system as a whole
+    values = [flat[end - len(x) : end] for x, end in zip(rows, ends.tolist(), strict=True)]
+    for x, own in zip(rows, values, strict=True):
         v = scale[x].astype(np.float64)
-        values.append((v / max(np.sqrt(v @ v), 1e-9)).astype(np.float32))
+        own[:] = (v / max(np.sqrt(v @ v), 1e-9)).astype(np.float32)
     alpha, sign = np.zeros(len(rows)), np.where(y > 0, 1.0, -1.0)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
