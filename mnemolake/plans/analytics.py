@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import active
 from ..operators import advisory, curation, merge, metrics
+from ..operators import mentions as join
 from .registry import as_of, query
 
 
@@ -115,17 +116,9 @@ def _(t):
     return t.patterns.join(m, "representative_memory_id", "left").select("pattern_key", F.length(F.coalesce("content", "pattern_key")).cast("long").alias("n"))
 
 
-def mentions(texts: DataFrame, keys: DataFrame, block: int = 1000) -> DataFrame:
-    """texts (text, more) with each different key whose text contains it, the text itself dropped.
-
-    A theta join has no equal keys: the keys are packed into blocks of about `block`, as many as their number needs, and each
-    text meets each block by its number, so that it is read once for a block and no key is left out."""
-    keys = keys.where("key is not null").distinct()
-    blocks = keys.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("blocks"))
-    packed = keys.crossJoin(F.broadcast(blocks)).groupBy(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    rows = texts.crossJoin(F.broadcast(blocks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found = F.filter("keys", lambda k: F.like(F.col("text"), F.concat(F.lit("%"), k, F.lit("%"))))
-    return rows.join(packed, "block").select(*(c for c in texts.columns if c != "text"), F.explode(found).alias("key"))
+def mentions(texts: DataFrame, keys: DataFrame, block: int = join.PACK) -> DataFrame:
+    """texts (an id first, text, more) with each different key whose text contains it."""
+    return join.mentions(texts, keys, next(c for c in texts.columns if c != "text"), pack=block)
 
 
 @query("j4_mentions", "select e.event_id, k.key from phrases e join (select distinct event_type as key from phrases) k on e.text like concat('%', k.key, '%')")
@@ -133,6 +126,11 @@ def _(t):
     return mentions(t.phrases.select("event_id", "text"), t.phrases.select(F.col("event_type").alias("key")))
 
 
+@query("j4_mentions_left", "select e.event_id, k.key from phrases e left join (select distinct event_type as key from phrases where event_type <> 'click') k on e.text like concat('%', k.key, '%')")
+def _(t):
+    return join.mentions(t.phrases.select("event_id", "text"), t.phrases.where("event_type <> 'click'").select(F.col("event_type").alias("key")), "event_id", "left")
+
+
 @query("j8_orphans", "select id, superseded_by from memories m where superseded_by is not null and superseded_by <> 'expired' and not exists (select 1 from memories x where x.id = m.superseded_by)")
 def _(t):
     return metrics.orphans(t.memories).select("id", "superseded_by")

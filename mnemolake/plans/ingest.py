@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.vectors import HashingEmbedder
 from ..operators import ingest, repair, retrieval, topics
+from ..sources import discovery
 from ..sources.derived import AS_OF
+from ..sources.stages import new_path
 from .registry import as_of, query
 from .retrieval import Q
 
@@ -47,6 +49,17 @@ def _(t):
     return repair.run(t.memories, as_of()).groupBy("tier", "source_kind").agg(F.count("*").alias("n"), F.count("superseded_by").alias("superseded"))
 
 
+@query("s4_found_sessions", "select 'a' || right(session_id, 1) as agent, role, count(*) as n, max(pos) as last from messages group by 1, 2")
+def _(t):
+    """Messages written as one log for each agent, found by their metadata, and read again."""
+    folder = new_path(t.spark, "logs")
+    lines = t.messages.select(F.concat(F.lit("a"), F.right("session_id", F.lit(1))).alias("agent"), F.to_json(F.struct("role", "pos", "text")).alias("line"))
+    lines.write.partitionBy("agent").text(folder)
+    found = discovery.discover(t.spark, folder, pattern="*.txt", agent_pattern="/agent=([^/]+)/")
+    e = F.from_json("line", "role string, pos long")
+    return discovery.read_found(t.spark, found).select("agent", e.alias("e")).groupBy("agent", "e.role").agg(F.count("*").alias("n"), F.max("e.pos").alias("last"))
+
+
 @query("k12_topics")
 def _(t):
     return topics.topic_texts(t.memories, {"decision": 8, "learning": 8, "gotcha": 10, "absent": 3})
