@@ -263,8 +263,8 @@ def _first(x: str, table, field: str, default: str) -> str:
 
 @query("g2_session_rules", f"select event_id, case when regexp_matches(text, '(?i)^(sí|si|ok|listo|hecho|done|entendido|perfecto|claro)') then null else {_first('text', rules.SESSION_RULES, 'type', 'null')} end as type, cast(case when regexp_matches(text, '(?i)^(sí|si|ok|listo|hecho|done|entendido|perfecto|claro)') then null else {_first('text', rules.SESSION_RULES, 'importance', 'null')} end as integer) as importance from phrases")
 def _(t):
-    g = rules.session_message(F.col("text"))
-    return t.phrases.select("event_id", g.getField("type").alias("type"), g.getField("importance").alias("importance"))
+    g = rules.session_message(F.col("text"))  # asked once for a row: a second field of it would run the rules again
+    return t.phrases.select("event_id", g.alias("g")).select("event_id", "g.type", "g.importance")
 
 
 @query("g3_entry_rules", f"select event_id, case when length(text || text) >= 60 then {_first(chr(39) + 'notes ' + chr(39) + ' || lower(text || text)', rules.ENTRY_RULES, 'type', 'null')} end as type from phrases")

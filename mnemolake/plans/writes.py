@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import extract
 from ..operators import adapters, merge, writes
@@ -240,7 +241,11 @@ def _(t):
 
 @query("w12_compressed", "select session_id, left(string_agg(case when role = 'user' then 'USER: ' else 'ASSISTANT: ' end || left(text, 800) || chr(10) || chr(10), '' order by pos), 12000) as text from messages group by session_id")
 def _(t):
-    rows = t.messages.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("m"))
+    # messages are cut before they are gathered, and those that the whole text's limit cannot reach stay away
+    cut = t.messages.select("session_id", "pos", "role", F.left("text", F.lit(800)).alias("text"))
+    before = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy("session_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    cut = cut.withColumn("before", F.coalesce(before, F.lit(0))).where("before < 12000")
+    rows = cut.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("m"))
     return rows.select("session_id", extract.compressed(F.col("m")).alias("text"))
 
 
