@@ -1,7 +1,7 @@
 """Clusters of like memories and the patterns made of them.
 
-Pairs come from block products (retrieval.neighbours), distributed. The order-dependent folds over them run on inputs that
-their limits bound (the newest 500 memories), or on one connected component at a time."""
+Pairs come from block products (retrieval.neighbours), distributed. The greedy fold over them runs on an input that its limit
+bounds (the newest 500 memories); capped walks (walks.py) go over all memories in rounds of joins."""
 
 from __future__ import annotations
 
@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 
 from ..functions import rules
 from ..functions.columns import active
-from .graph import connected
 from .metrics import top_words
 from .retrieval import _block_pairs, neighbours
+from .walks import capped_walks
 
 
 def greedy_clusters(memories: DataFrame, threshold: float, newest: int = 500) -> DataFrame:
@@ -40,30 +40,12 @@ def greedy_clusters(memories: DataFrame, threshold: float, newest: int = 500) ->
 
 
 def components(memories: DataFrame, threshold: float, most: int = 7) -> DataFrame:
-    """cluster, id: breadth first from the newest over each memory's nearest ten, cut at `most` members."""
+    """cluster, id: breadth first from the newest over each memory's nearest ten, cut at `most` members; clusters of one are
+    dropped. A cluster's members are all that is ever gathered."""
     near = neighbours(memories, threshold)
-    rank = memories.where(active()).select("id", "created_at")
-    edges = near.join(rank, "id").select("id", "other", "rank", "created_at")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        links = {k: g.sort_values("rank").other.tolist() for k, g in pdf.groupby("id")}
-        order = pdf[["id", "created_at"]].drop_duplicates().sort_values(["created_at", "id"], ascending=[False, True]).id
-        seen, out = set(), []
-        for start in order:
-            if start in seen:
-                continue
-            own, queue = [start], [start]
-            seen.add(start)
-            while queue and len(own) < most:
-                for x in links.get(queue.pop(0), []):
-                    if x not in seen and len(own) < most:
-                        seen.add(x), own.append(x), queue.append(x)
-            out += [(start, x) for x in own] if len(own) > 1 else []
-        return pd.DataFrame(out, columns=["cluster", "id"])
-
-    # a walk never leaves its connected component: each is a group of its own
-    roots = connected(edges.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    return edges.join(roots, "id").groupBy("root").applyInPandas(fold, "cluster string, id string")
+    newest = memories.where(active()).select("id", (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("order"))
+    walks = capped_walks(near, newest, most).where(F.size("own") > 1)
+    return walks.select(F.col("id").alias("cluster"), F.explode("own").alias("id"))
 
 
 def describe(clusters: DataFrame, memories: DataFrame) -> DataFrame:
