@@ -153,31 +153,25 @@ def _picked(pick: np.ndarray, capacity: int) -> list[int]:
     return out
 
 
-def best_configuration(value: np.ndarray, capacity: int) -> np.ndarray:
-    """The multiset of lengths of the highest total value that fits: unbounded knapsack, by capacity. value[l] is of length
-    l, 0 for lengths not offered (as at index 0); returns the lengths, largest first."""
-    return np.array(sorted(_picked(_knapsack(value, capacity)[1], capacity), reverse=True), np.int64)
-
-
-def solve(counts: np.ndarray, capacity: int, rounds: int | None = None, rate: float = 0.2, eta: float = 8.0, slack: float = 0.01) -> dict[tuple[int, ...], float]:
-    """Multiplicative weights for: minimise sum(x) with sum(x_c * c[l]) >= counts[l], until every length is covered (or for
-    `rounds` rounds). The dual price of a length starts at its share of a sequence (a little more for the long, which fit
-    fewer places) and falls by the factor exp(-eta * covered share): what lags gains weight.
-
-    Each round is one knapsack, whose table prices the best configuration with each length in it. Those within `slack` of the
-    best of all are used, best first, each until one of its lengths is covered by `rate` more than when the round began, but
-    at least once if that much is still short. The best of all is always among them, so each round covers more."""
-    lengths = np.arange(len(counts)) / capacity
-    first = np.where(counts > 0, lengths * (1 + 0.1 * lengths), 0.0)
-    demand, cover, out, done = np.maximum(counts, 1), np.zeros(len(counts)), {}, 0
-    while rounds is None or done < rounds:
-        done += 1
+def _sweep(counts: np.ndarray, capacity: int, first: np.ndarray, rate: float, eta: float, slack: float) -> tuple[dict[tuple[int, ...], float], float, np.ndarray]:
+    """One run of multiplicative weights until every length is covered: the configurations with their repeats, the highest
+    lower bound that its prices prove, and the mean of the prices, each scaled so that the best configuration costs 1.
+
+    The price of a length starts at `first` and falls by the factor exp(-eta * covered share): what lags gains weight. Each
+    round is one knapsack, whose table prices the best configuration with each length in it. Those within `slack` of the best
+    of all are used, best first, each until one of its lengths is covered by `rate` more than when the round began, but at
+    least once if that much is still short. The best of all is always among them, so each round covers more."""
+    demand, cover = np.maximum(counts, 1), np.zeros(len(counts))
+    out, bound, mean, weight = {}, 0.0, np.zeros(len(counts)), 0.0
+    while True:
         price = first * np.exp(-eta * cover / demand) * (cover < demand - 1e-9)
         offered = np.flatnonzero(price)
         if not len(offered):
-            break
+            return out, bound, mean / max(weight, 1e-300)
         best, pick = _knapsack(price, capacity)
         total = price[offered] + best[capacity - offered]
+        scaled = price / total.max()  # no configuration costs more than 1: what the demand costs is a lower bound
+        bound, made = max(bound, float(scaled @ counts)), 0.0
         most = np.minimum(cover + np.maximum(rate * demand, 1.0), demand)
         near = np.flatnonzero(total >= (1 - slack) * total.max())
         for length in offered[near[np.argsort(-total[near], kind="stable")]].tolist():
@@ -196,46 +190,108 @@ def solve(counts: np.ndarray, capacity: int, rounds: int | None = None, rate: fl
                 times = float(np.floor(times + 1e-9))
             out[config] = out.get(config, 0.0) + times
             cover[kinds] += times * n
-    return out
+            made += times
+        mean, weight = mean + made * scaled, weight + made
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing: each length goes to the fullest sequence that holds it."""
-    room: list[tuple[int, int]] = []  # (space left, sequence), sorted
-    out: list[list[int]] = []
-    for length in sorted(lengths, reverse=True):
-        at = bisect.bisect_left(room, (length, -1))
-        if at < len(room):
-            space, k = room.pop(at)
-        else:
-            space, k = capacity, len(out)
-            out.append([])
-        out[k].append(length)
-        bisect.insort(room, (space - length, k))
+def _sure_prices(n: int, capacity: int, kinds: int = 30) -> Iterator[np.ndarray]:
+    """Prices of lengths under which no configuration costs more than 1: shares of a sequence, and shares rounded down to
+    k-ths of k + 1 (dual feasible functions; k = 1 counts lengths above a half as 1)."""
+    lengths = np.arange(n)
+    yield lengths / capacity
+    for k in range(1, kinds + 1):
+        yield np.where((k + 1) * lengths % capacity == 0, lengths / capacity, (k + 1) * lengths // capacity / k)
+
+
+def solve(counts: np.ndarray, capacity: int, gap: float = 5e-4, sweeps: int = 3, rate: float = 0.2, eta: float = 4.0, slack: float = 0.004) -> tuple[dict[tuple[int, ...], float], float]:
+    """Multiplicative weights for: minimise sum(x) with sum(x_c * c[l]) >= counts[l]. The repeats of the best sweep, and the
+    highest lower bound on the program's value that any prices proved (those of _sure_prices among them).
+
+    Sweeps repeat, each with half the steps and half the fall of prices of the one before, and from the mean prices of the
+    sweep with the best bound, until value and bound are within `gap` of each other, a sweep has not
+    brought them a third closer, or `sweeps` have run."""
+    lengths, counts = np.arange(len(counts)) / capacity, np.where(np.arange(len(counts)) > 0, counts, 0).astype(float)
+    # a little more than its share for a long length, which fits fewer places
+    first = np.where(counts > 0, lengths * (1 + 0.1 * lengths), 0.0)
+    found, value, apart = {}, np.inf, np.inf
+    bound = max(float(price @ counts) for price in _sure_prices(len(counts), capacity))
+    for _ in range(sweeps if counts.any() else 0):
+        out, least, mean = _sweep(counts, capacity, first, rate, eta, slack)
+        mean = np.where(counts > 0, np.maximum(mean, 1e-9), 0.0)
+        proved = float(mean @ counts) / max(_knapsack(mean, capacity)[0][-1], 1e-300)
+        if max(least, proved) > bound * (1 + 1e-6):
+            first = mean
+        bound = max(bound, least, proved)
+        if sum(out.values()) < value:
+            found, value = out, sum(out.values())
+        if value <= bound * (1 + gap) or value - bound > 0.7 * apart:
+            break
+        apart = value - bound
+        rate, eta, slack = rate / 2, eta / 2, slack / 2
+    return found, bound
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
+    """Best-fit decreasing on counts: all pieces of a length go to the fullest sequences that hold them, equal sequences
+    together, so that the time does not grow with the number of pieces. Each configuration with its repeats."""
+    spaces: list[int] = []  # sorted
+    groups: dict[int, dict[tuple[int, ...], int]] = {}  # by space left: configurations and how many
+
+    def put(space: int, config: tuple[int, ...], n: int) -> None:
+        if space not in groups:
+            groups[space] = {}
+            bisect.insort(spaces, space)
+        groups[space][config] = groups[space].get(config, 0) + n
+
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[length])
+        while n:
+            at = bisect.bisect_left(spaces, length)
+            if at == len(spaces):  # new sequences, as many as these pieces fill; the loop goes on to fill them
+                opened = max(n // (capacity // length), 1)
+                put(capacity - length, (length,), opened)
+                n -= opened
+                continue
+            space = spaces[at]
+            config, there = groups[space].popitem()
+            used = min(there, n)
+            if there > used:
+                groups[space][config] = there - used
+            elif not groups[space]:
+                del groups[space], spaces[at]
+            put(space - length, (*config, length), used)
+            n -= used
+    out: dict[tuple[int, ...], int] = {}
+    for own in groups.values():
+        for config, n in own.items():
+            out[config] = out.get(config, 0) + n
     return out
 
 
-def plan(counts: np.ndarray, capacity: int, rounds: int | None = None, few: int = 60_000) -> list[tuple[tuple[int, ...], int]]:
-    """(configuration, repeats) that hold exactly counts[l] pieces of each length l < capacity."""
-    left, out = counts.astype(np.int64).copy(), []
-    for config, times in solve(left.astype(float), capacity, rounds).items():
+def plan(counts: np.ndarray, capacity: int, program: dict[tuple[int, ...], float] | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """(configuration, repeats) that hold exactly counts[l] pieces of each length l < capacity: the program's configurations
+    in whole repeats, the fullest first, and best fit for the pieces that rounding left. How much of the program's solution
+    the rounding keeps (its emptiest configurations may be better taken apart) is what needs the fewest sequences. `program` is
+    a solution known already."""
+    counts = np.where(np.arange(len(counts)) > 0, counts, 0).astype(np.int64)
+    program = solve(counts, capacity)[0] if program is None else program
+    whole, left, held = [], counts.copy(), 0
+    for config, times in sorted(program.items(), key=lambda x: (-sum(x[0]), x[0])):
         kinds, n = np.unique(np.array(config), return_counts=True)
-        if (whole := int(min(np.floor(times + 1e-9), (left[kinds] // n).min()))) > 0:
-            out.append((config, whole))
-            left[kinds] -= whole * n
-    # what rounding left: again whole configurations, each until one of its lengths is used up, then best fit
-    lengths = np.arange(len(left)) / capacity
-    while left.sum() > few:
-        config = best_configuration(np.where(left > 0, lengths * (1 + 0.1 * lengths), 0.0), capacity)
-        kinds, n = np.unique(config, return_counts=True)
-        n = np.minimum(n, left[kinds])
-        whole = int((left[kinds] // n).min())
-        out.append((tuple(np.repeat(kinds, n).tolist()), whole))
-        left[kinds] -= whole * n
-    rest: dict[tuple[int, ...], int] = {}
-    for bin_ in best_fit(np.repeat(np.arange(len(left)), left).tolist(), capacity):
-        rest[tuple(sorted(bin_, reverse=True))] = rest.get(tuple(sorted(bin_, reverse=True)), 0) + 1
-    return out + list(rest.items())
+        if (repeats := int(min(np.floor(times + 1e-9), (left[kinds] // n).min()))) > 0:
+            whole.append((config, repeats, held))
+            left[kinds] -= repeats * n
+            held += repeats
+    best, least = [], np.inf
+    for share in (1.0, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5):
+        kept = [(config, repeats) for config, repeats, before in whole if before < share * held]
+        rest = counts.copy()
+        for config, repeats in kept:
+            np.subtract.at(rest, list(config), repeats)
+        made = kept + list(best_fit(rest, capacity).items())
+        if (total := sum(n for _, n in made)) < least:
+            best, least = made, total
+    return best
 
 
 def places(configs: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
@@ -252,7 +308,7 @@ def places(configs: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
-def pack(cut: DataFrame, max_len: int = MAX_LEN, rounds: int | None = None) -> DataFrame:
+def pack(cut: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...). cut is read several times: stage it first.
 
     Pieces of one length and salt are ranked by (doc_id, piece, ids_crc32), nulls first. Whole-sequence pieces stand alone. The
@@ -264,7 +320,7 @@ def pack(cut: DataFrame, max_len: int = MAX_LEN, rounds: int | None = None) -> D
     for length, n in histogram.items():
         if length < max_len:
             counts[length] = n
-    rows = places(plan(counts, max_len, rounds)) if counts.sum() else np.zeros((0, 6), np.int64)
+    rows = places(plan(counts, max_len)) if counts.sum() else np.zeros((0, 6), np.int64)
     base = int((rows[:, 4] + rows[:, 3]).max()) if len(rows) else 0
     # as many salts for a length as each then has rows; a staged row's number tells rows of one id apart
     salts = literal_array([math.isqrt(histogram.get(n, 0)) + 1 for n in range(max_len + 1)], "int")

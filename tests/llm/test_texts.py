@@ -81,17 +81,28 @@ def test_packing(docs, none):
 
 def test_plan_holds_every_piece():
     rng = np.random.default_rng(3)
-    for few in (0, 200, 10**9):
-        counts = rng.integers(0, 30, 128)
+    for most in (2, 30, 10**6):
+        counts = rng.integers(0, most, 128)
         counts[0] = 0
-        plan = packing.plan(counts, 128, rounds=50, few=few)
-        held = np.zeros(128, int)
-        for config, times in plan:
-            assert sum(config) <= 128 and times > 0
-            for length in config:
-                held[length] += times
-        assert (held == counts).all()
-        assert sum(n for _, n in plan) <= 1.05 * max((counts * np.arange(128)).sum() / 128, counts[65:].sum()) + 2
+        for plan in (packing.plan(counts, 128), list(packing.best_fit(counts, 128).items())):
+            held = np.zeros(128, int)
+            for config, times in plan:
+                assert sum(config) <= 128 and times > 0
+                np.add.at(held, list(config), times)
+            assert (held == counts).all()
+            assert sum(n for _, n in plan) <= 1.05 * max((counts * np.arange(128)).sum() / 128, counts[65:].sum()) + 2
+    assert packing.plan(np.zeros(128, np.int64), 128) == [] and packing.solve(np.zeros(128), 128) == ({}, 0.0)
+
+
+def test_program_meets_the_true_optimum():
+    """Thirds, halves and lengths that only fit alone: the value is known."""
+    counts = np.zeros(13, np.int64)
+    counts[[4, 6, 11]] = 300, 200, 50
+    found, bound = packing.solve(counts, 12)
+    assert abs(sum(found.values()) - 250) <= 0.13 and 249.8 <= bound <= 250 + 1e-6
+    assert sum(n for _, n in packing.plan(counts, 12)) == 250
+    for price in packing._sure_prices(13, 12):
+        assert packing._knapsack(price, 12)[0][-1] <= 1 + 1e-9
 
 
 def test_best_configuration_is_the_best():
@@ -99,7 +110,8 @@ def test_best_configuration_is_the_best():
 
     value = np.array([0, 0, 3.0, 4.5, 0, 8.2])
     best = max(sum(value[x] for x in c) for n in range(7) for c in itertools.combinations_with_replacement([2, 3, 5], n) if sum(c) <= 12)
-    assert abs(sum(value[x] for x in packing.best_configuration(value, 12)) - best) < 1e-9
+    assert abs(packing._knapsack(value, 12)[0][-1] - best) < 1e-9
+    assert abs(sum(value[x] for x in packing._picked(packing._knapsack(value, 12)[1], 12)) - best) < 1e-9
 
 
 def test_fingerprints(docs, none):
