@@ -283,7 +283,7 @@ def plan(counts: np.ndarray, capacity: int, program: dict[tuple[int, ...], float
             left[kinds] -= repeats * n
             held += repeats
     best, least = [], np.inf
-    for share in (1.0, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5):
+    for share in (1.0, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5, 0.3, 0.1):
         kept = [(config, repeats) for config, repeats, before in whole if before < share * held]
         rest = counts.copy()
         for config, repeats in kept:
