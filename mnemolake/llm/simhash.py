@@ -13,7 +13,8 @@ most 25, all within two bits of each other) are linked to the smallest of them.
 linear work and without gathering the bucket in one task.
 
 Components are found by alternating large-star and small-star steps on (doc_id, doc_id) links, staged after each round;
-nothing is collected. component_id is the smallest doc_id reachable. Null doc_ids have no component of their own making: they
+nothing is collected, and joins are told to merge, as a side just under the threshold for broadcasts would pass through the
+driver in each round and stay there. component_id is the smallest doc_id reachable. Null doc_ids have no component of their own making: they
 take that of their fingerprint's class (null if the class has only nulls).
 """
 
@@ -103,7 +104,7 @@ def links(classes: DataFrame) -> DataFrame:
     all fingerprints within two bits connect. Within a small bucket every such pair is linked."""
     keyed = classes.select("id", "fp", F.explode(_keys(F.col("fp"))).alias("k")).select("id", "fp", "k.way", "k.key")
     count = keyed.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(count, ["way", "key"])
+    shared = keyed.join(count.hint("merge"), ["way", "key"])
     small, large = shared.where(F.col("n") <= BUCKET), shared.where(F.col("n") > BUCKET)
     members = small.groupBy("way", "key").agg(F.collect_list(F.struct("id", "fp")).alias("m"))  # at most BUCKET each
     one = members.select("way", "m", F.explode("m").alias("x")).select("way", "x", F.explode("m").alias("y")).where("x.id < y.id")
@@ -113,7 +114,7 @@ def links(classes: DataFrame) -> DataFrame:
     open_bits = F.filter(flips, lambda f: _free(F.col("way"), f))
     met = large.select("id", "way", "key", F.explode(F.transform(open_bits, lambda f: F.col("fp").bitwiseXOR(f))).alias("v"))
     best = met.groupBy("way", "key", "v").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = met.join(best, ["way", "key", "v"]).where("a < id").select("a", F.col("id").alias("b"))
+    star = met.join(best.hint("merge"), ["way", "key", "v"]).where("a < id").select("a", F.col("id").alias("b"))
     return near.union(star).distinct()
 
 
@@ -140,10 +141,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: each larger neighbour of a joins a's smallest neighbour
-        large = both.where("b > a").join(least, "a").where("m < b").select(F.col("m").alias("a"), "b").distinct()
+        large = both.where("b > a").join(least.hint("merge"), "a").where("m < b").select(F.col("m").alias("a"), "b").distinct()
         # small star: each smaller neighbour, and b itself, joins b's smallest
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b")
+        small = large.join(low.hint("merge"), "b")
         small = small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(low.select(F.col("m").alias("a"), "b")).distinct()
         after = staged(small, "edges")
         now = mark(after)
@@ -166,8 +167,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps = staged(fingerprints(docs), "fingerprints")
     classes = staged(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
     roots = components(links(classes))
-    named = classes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = classes.join(roots.hint("merge"), "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    return fps.join(named.hint("merge"), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

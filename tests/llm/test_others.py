@@ -177,3 +177,19 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     assert shared in kept[1001] and shared not in kept[1002]
     total = corpus_pipeline.run(spark, str(tmp_path)).count()
     assert total == spark.read.parquet(f"{tmp_path}/packing").count()
+
+
+def test_simhash_rounds_send_nothing_through_the_driver(spark, monkeypatch):
+    """Sides of joins that grow with the table merge, however small they are here."""
+    from mnemolake.llm import simhash
+
+    plans, stage = [], simhash.staged
+
+    def told(df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(simhash, "staged", told)
+    docs = spark.createDataFrame([(k, f"a b c d e f {k // 3}") for k in range(30)], "doc_id long, text string")
+    plans.append(simhash.near_duplicates(docs)._jdf.queryExecution().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
