@@ -56,7 +56,7 @@ class Cooldown(StatefulProcessor):
         order = np.lexsort((ids, ts))
         ts, ids = ts[order], ids[order]
         was = self.last.get()[0] if self.last.exists() else None
-        kept, last = given(ts, was, self.ms * 1000)
+        kept, last = given(ts, was, self.ms)
         if last is not None and last != was:
             if was is not None:
                 self.handle.deleteTimer(self._end(was))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,19 @@ def test_cooldown_is_the_same_whatever_the_batches(spark, batch):
     assert not advisory.cooldown(df.where("false")).collect()
 
 
+def test_cooldown_counts_whole_milliseconds_as_its_sql_does(spark):
+    us = [0, 299_999_499, 299_999_500, 599_999_600, 900_000_100, 1_200_000_099, 1_200_001_000]
+    rows = [(i, "a", "exec", T0 + dt.timedelta(microseconds=x)) for i, x in enumerate(us)]
+    got = sorted(r.event_id for r in advisory.cooldown(spark.createDataFrame(rows, "event_id long, agent string, tool string, ts timestamp_ntz")).collect())
+    last, want = None, []
+    for i, *_, ts in rows:
+        (ms,) = duckdb.execute("select epoch_ms($1::timestamp)", [ts]).fetchone()
+        if last is None or ms - last >= 300_000:
+            last = ms
+            want.append(i)
+    assert got == want == [0, 2, 3, 4, 5]
+
+
 def plain_pack(context, rows, budget=800):
     """rows: (type, content) in order."""
     lines = []
