@@ -43,3 +43,24 @@ def test_clusters_take_likeness_at_the_threshold(spark):
     rows = [("a", [1.0, 0.0], day), ("b", [3.0, 4.0], day), ("c", [0.0, -1.0], day)]  # a and b: 0.6 exactly
     df = spark.createDataFrame([(*r, None, None) for r in rows], "id string, embedding array<double>, created_at timestamp_ntz, superseded_by string, expires_at timestamp_ntz")
     assert {(r.cluster, r.id) for r in patterns.greedy_clusters(df, 0.6).collect()} == {("a", "a"), ("a", "b")}
+
+
+def test_blocks_are_packed_once_and_strips_keep_ties(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"{i:03d}", [float(x) for x in v]) for i, v in enumerate(rng.integers(-1, 2, (90, 3)))] + [("nan", [float("nan"), 1.0, 1.0]), ("short", [1.0]), ("null", [None, 1.0, 1.0])]
+    monkeypatch.setattr(retrieval, "STRIP", 7)
+    pairs = retrieval._block_pairs(spark.createDataFrame(rows, "id string, embedding array<double>"), -0.5, 40, 4)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = sorted((r.id, r["rank"], r.other, r.similarity) for r in retrieval._ranked(pairs, 4).collect())
+    want = []
+    for a, x in rows:
+        near = []
+        for b, y in rows:
+            if a != b:
+                ok = len(x) == len(y) and None not in x + y and not np.isnan(x + y).any()
+                norms = np.linalg.norm(x) * np.linalg.norm(y) if ok else 0
+                s = round(float(np.dot(x, y) / norms), 9) if norms else (None if len(x) == len(y) and len(x) == 3 and "nan" in (a, b) or "null" in (a, b) and len(x) == len(y) else 0.0)
+                if s is not None and s > -0.5:
+                    near.append((-s, b))
+        want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(sorted(near)[:4])]
+    assert got == sorted(want)
