@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,31 @@ PATTERNS = (
 )
 
 
+
+
+def _possible(reason: str, text: Column) -> Column:
+    """A cheap condition that every text with a match meets: most texts are spared the pattern itself. Of letters that match in
+    either case only those without a third form (long s, dotless i, Kelvin sign) are asked for."""
+    has = lambda *xs: functools.reduce(lambda a, b: a | b, (text.contains(x) for x in xs))
+    match reason:
+        case "email":
+            return has("@")
+        case "phone":
+            return text.rlike(r"\d{3}[\s.\-]?\d{4}")
+        case "bearer_token":
+            return F.lower(text).contains("bearer")
+        case "api_key_assignment":
+            return has(":", "=") & F.lower(text).contains("ey")
+        case "iban":
+            return text.rlike(r"[A-Z]{2}\d{2}[A-Z0-9]{11}")
+        case "credit_card":
+            return text.rlike(r"\d[\d -]{11,}\d")
+        case "ipv4":
+            return text.rlike(r"\d\.\d{1,3}\.\d")
+    known = {"openai_key": "sk-", "github_token": "gh", "github_pat": "github_pat_", "aws_access_key": "AKIA", "slack_token": "xox", "jwt_token": "eyJ", "private_key_block": "-----BEGIN"}
+    return has(known[reason])
+
+
 def should_scrub(context: Column, allowed: tuple[str, ...] = (), enabled: bool = True) -> Column:
     """Off when disabled or when the trimmed context is on the allow list; an empty context is scrubbed."""
     ctx = F.trim(F.coalesce(context, F.lit("")))
@@ -42,11 +68,12 @@ def scrub(df: DataFrame, column: str, when: Column | None = None, replacement: s
     for reason, pattern in PATTERNS:
         if reasons is None or reason in reasons:
             name = f"__{reason}"
-            df = df.withColumn(name, text)  # each step reads what the one before left
-            found.append(F.when(when & F.col(name).rlike(pattern), F.lit(reason)))
-            text = F.when(when, F.regexp_replace(F.col(name), pattern, safe)).otherwise(F.col(name))
+            # each step reads what the one before left; only what matches is replaced
+            df = df.withColumn(name, text).withColumn(f"{name}_hit", when & _possible(reason, F.col(name)) & F.col(name).rlike(pattern))
+            found.append(F.when(F.col(f"{name}_hit"), F.lit(reason)))
+            text = F.when(F.col(f"{name}_hit"), F.regexp_replace(F.col(name), pattern, safe)).otherwise(F.col(name))
     df = df.withColumns({f"{column}_reasons": F.array_compact(F.array(*found)), "__scrubbed": text})
-    return df.withColumn(column, F.col("__scrubbed")).drop("__scrubbed", *(f"__{r}" for r, _ in PATTERNS))
+    return df.withColumn(column, F.col("__scrubbed")).drop("__scrubbed", *(f"__{r}{x}" for r, _ in PATTERNS for x in ("", "_hit")))
 
 
 def merge_tags(tags: Column, reasons: Column) -> Column:
