@@ -120,31 +120,29 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: flo
 
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float, epochs: int, seed: int = 7) -> np.ndarray:
     """Minimises |w|^2 / 2 + cost * sum(max(0, 1 - y w.x)) over rows x = scale on their ids plus a constant, each row divided
-    by its own length so that long and short texts weigh the same. Returns w times scale, with the constant last."""
-    size = len(scale)
-    w, bias = np.zeros(size, np.float64), 0.0
-    ends = np.cumsum([len(x) for x in rows], dtype=np.int64)
-    flat = np.empty(int(ends[-1]) if len(rows) else 0, np.float32)  # one block, which goes back to the system as a whole
-    values = [flat[end - len(x) : end] for x, end in zip(rows, ends.tolist(), strict=True)]
-    for x, own in zip(rows, values, strict=True):
-        v = scale[x].astype(np.float64)
-        own[:] = (v / max(np.sqrt(v @ v), 1e-9)).astype(np.float32)
+    by its own length so that long and short texts weigh the same. Returns w, with the constant last.
+
+    What is held and moved is w times scale: a row's margin is then a sum over its ids, and its step adds squares of scale. So
+    rows need no values of their own beside their ids, and ids whose scale is 0 stay at 0."""
+    product, square, bias = np.zeros(len(scale), np.float64), scale.astype(np.float64) ** 2, 0.0
+    length = np.array([max(np.sqrt(square[x].sum()), 1e-9) for x in rows])
     alpha, sign = np.zeros(len(rows)), np.where(y > 0, 1.0, -1.0)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            x, v = rows[i], values[i]
-            g = sign[i] * (w[x] @ v + bias) - 1.0
+            x = rows[i]
+            now = product[x]
+            g = sign[i] * (now.sum() / length[i] + bias) - 1.0
             new = min(max(alpha[i] - g / 2.0, 0.0), cost)  # each row and its constant have length 1
             if step := new - alpha[i]:
-                w[x] += step * sign[i] * v
+                product[x] = now + step * sign[i] / length[i] * square[x]  # a row's ids are distinct
                 bias += step * sign[i]
                 alpha[i] = new
                 worst = max(worst, abs(step))
         if worst < 1e-3 * cost:
             break
-    return np.append(w, bias)
+    return np.append(np.divide(product, scale, out=np.zeros_like(product), where=scale != 0), bias)
 
 
 @dataclass
@@ -214,16 +212,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int, cost: float = 1.0, epo
     if n == 0 or up in (0, n):
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 1.0, float(np.log((up + 1) / (n - up + 1))))
 
-    if least > 1:  # once for all fits: what too few rows have is not a feature
-        have = np.zeros(size, np.int32)
-        for x in rows:
-            have[x] += 1
-        rows = [x[have[x] >= least] for x in rows]
-
     def one(at: np.ndarray) -> Model:
         own, label = [rows[i] for i in at], y[at]
         scale = log_count_ratio(own, label, size, alpha, least)
-        w = dual_descent([x[scale[x] != 0] for x in own], label, scale, cost, epochs)
+        w = dual_descent(own, label, scale, cost, epochs)
         return Model(scale, w[:-1].astype(np.float32), float(w[-1]))
 
     order = np.random.default_rng(11).permutation(n)
