@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import json
 import math
 import re
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import Remembered, byte_letters, pack_ids
+from .bpe import byte_letters
 from .common import literal_array, staged, table
 
 MAX_LEN = 2048
@@ -44,11 +45,66 @@ PLAIN = re.compile("[\t\n\r -~¡-ÿ–—‘-”…]*")
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t\n\r "
 
 
+class Known:
+    """What make gives for each of many different strings, looked up all at once: the strings are one Arrow array, what make gave
+    for them one array of ids. When more than `most` are held, the half that was asked for last stays. Strings of more than
+    LONGEST bytes are not held, so what is held is bounded in bytes too."""
+
+    LONGEST = 64
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.round = make, most, 0
+        self.keys, self.sizes, self.used = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __call__(self, keys: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Of different strings: how many ids each has, and the ids of all."""
+        at = pc.index_in(keys, value_set=self.keys)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy()
+        self.round += 1
+        self.used[at[~new]] = self.round
+        sizes = np.zeros(len(keys), np.int64)
+        sizes[~new] = self.sizes[at[~new]]
+        starts = np.cumsum(self.sizes) - self.sizes
+        ids, source = self.ids, np.where(new, 0, starts[at] if len(starts) else 0)
+        if new.any():
+            missing = keys.filter(pa.array(new))
+            made, more = self.make(missing)
+            sizes[new], source[new] = made, len(ids) + np.cumsum(made) - made
+            ids = np.concatenate([ids, more])
+        out = taken(ids, source, sizes)
+        if new.any():
+            self._hold(missing, made, more)
+        return sizes, out
+
+    def _hold(self, keys: pa.LargeStringArray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        short = pc.less_equal(pc.binary_length(keys), self.LONGEST)
+        kept = short.to_numpy(zero_copy_only=False)
+        starts = (np.cumsum(sizes) - sizes)[kept]
+        self.keys = pa.concat_arrays([self.keys, keys.filter(short)])
+        self.ids = np.concatenate([self.ids, taken(ids, starts, sizes[kept])])
+        self.sizes, self.used = np.concatenate([self.sizes, sizes[kept]]), np.concatenate([self.used, np.full(len(starts), self.round)])
+        if len(self.keys) > self.most:
+            last = np.sort(np.argsort(self.used, kind="stable")[-(self.most // 2) :])
+            self.ids = taken(self.ids, (np.cumsum(self.sizes) - self.sizes)[last], self.sizes[last])
+            self.keys, self.sizes, self.used = self.keys.take(pa.array(last)), self.sizes[last], self.used[last]
+
+
+def taken(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ids that begin at starts, one after another."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordTokens:
     """The ids that the tokenizers library gives for the file. No word spans white space, so texts are cut there first, many
-    at a time; each different chunk of them is cut into words by the file's pattern, and each different word is encoded once
-    by the library's model. Recent short chunks and words are remembered, within a bound. Texts of other characters than
-    PLAIN, or with special tokens, go through the library whole."""
+    at a time; the different chunks of them that are not known are cut into words by the file's pattern, all at once, and each
+    different word that is not known is encoded once by the library's model. Recent short chunks and words are remembered,
+    within a bound. Texts of other characters than PLAIN, or with special tokens, go through the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,27 +114,35 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+").findall
+        # a line break, which no chunk holds, is between chunks
+        self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+|\n").findall
         self.letters = {b: c for c, b in byte_letters().items()}
         self.model = self.library.model
-        self.words = Remembered(self._word, REMEMBERED)
-        self.chunks = Remembered(lambda x: b"".join(map(self.words.__getitem__, self.find(x.lower()))), REMEMBERED)
-
-    def _word(self, word: str) -> bytes:
-        return pack_ids([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        self.words = Known(self._words, REMEMBERED)
+        self.chunks = Known(self._chunks, REMEMBERED)
+
+    def _words(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        ids = [[t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))] for w in words.to_pylist()]
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(itertools.chain.from_iterable(ids), "<u4")
+
+    def _chunks(self, chunks: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        words = pa.array(self.find("\n".join([*chunks.to_pylist(), ""]).lower()), pa.large_string()).dictionary_encode()
+        each, which = words.dictionary, words.indices.to_numpy()
+        breaks = pc.equal(each, "\n").to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(each), np.int64)
+        sizes[~breaks], ids = self.words(each.filter(pa.array(~breaks)))
+        ends = np.cumsum(sizes[which])
+        return np.diff(ends[np.flatnonzero(breaks[which])], prepend=0), taken(ids, (np.cumsum(sizes) - sizes)[which], sizes[which])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Of each text its little-endian unsigned 32-bit ids."""
         plain = [bool(PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
         cut = pc.ascii_split_whitespace(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
         parts = cut.flatten().dictionary_encode()
-        ids = list(map(self.chunks.__getitem__, parts.dictionary.to_pylist()))
-        sizes, which = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, parts.indices.to_numpy()
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        ends = np.concatenate([[0], np.cumsum(sizes[which])]).astype(np.int64)
-        # each place's source: its chunk's first id, and how far it is from where the chunk was put
-        shift = (np.cumsum(sizes) - sizes)[which] - ends[:-1]
-        data = flat[np.repeat(shift, sizes[which]) + np.arange(ends[-1])].tobytes()
+        sizes, ids = self.chunks(parts.dictionary)
+        which = parts.indices.to_numpy()
+        data = taken(ids, (np.cumsum(sizes) - sizes)[which], sizes[which]).tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])
         bounds = (4 * ends[cut.offsets.to_numpy()]).tolist()
         return [data[lo:hi] if p else self._whole(t) for t, p, lo, hi in zip(texts, plain, bounds[:-1], bounds[1:], strict=True)]
 
