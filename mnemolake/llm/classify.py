@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import nbsvm
-from .common import table
+from .common import give_back, table
 
 #: The most labelled rows that a model is fitted on.
 SAMPLE = 4000
@@ -52,6 +52,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features, modulus: int
         for b in batches:
             found = [np.sort(features(x.as_py(), scratch)).astype("<i4").tobytes() for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(found, pa.binary())], ["doc_id", "y", "ids"])
+            give_back()
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a few large blocks instead of one for each row: a worker that lives on gives their memory back
@@ -62,6 +63,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features, modulus: int
             places += [(d, y, len(blocks) - 1, s, e) for d, y, s, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         own = sorted(places)[:sample]  # a doc_id has one row
         model = nbsvm.fit([blocks[k][s:e] for _, _, k, s, e in own], np.array([y for _, y, *_ in own]), features.bits, **(how or {}))
+        blocks = own = None
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([model.pack()], pa.binary())], ["model"])
 
     got = rows.select("doc_id", "text", "y").mapInArrow(ids, "doc_id long, y int, ids binary").repartition(1).mapInArrow(one, "model binary").collect()
@@ -81,6 +84,7 @@ def score(docs: DataFrame, model: bytes, features, keep: tuple[str, ...] = ()) -
         for b in batches:
             s = [own.score(features(x.as_py(), scratch)) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), *(b.column(c) for c in kept)], ["doc_id", "score", *kept])
+            give_back()
 
     more = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     return rows.mapInArrow(run, f"doc_id long, score double{more}")

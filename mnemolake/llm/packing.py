@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import byte_letters
-from .common import literal_array, staged, table
+from .common import give_back, literal_array, staged, table
 
 MAX_LEN = 2048
 #: A staged piece's own number, hashed.
@@ -187,6 +187,8 @@ def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, end_id: int = END
                         part = ids[at : at + 4 * max_len]
                         rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if with_ids else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names + ["ids"] * with_ids)
+                rows = ids = part = None
+                give_back()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
