@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import nbsvm
-from .common import give_back, table
+from .common import give_back, give_back_driver, table
 
 #: The most labelled rows that a model is fitted on.
 SAMPLE = 4000
@@ -68,6 +68,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features, modulus: int
         yield pa.RecordBatch.from_arrays([pa.array([model.pack()], pa.binary())], ["model"])
 
     got = rows.select("doc_id", "text", "y").mapInArrow(ids, "doc_id long, y int, ids binary").repartition(1).mapInArrow(one, "model binary").collect()
+    give_back_driver(docs.sparkSession)
     return bytes(got[0].model) if got else nbsvm.fit([], np.zeros(0), features.bits).pack()
 
 
