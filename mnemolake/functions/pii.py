@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,20 +61,27 @@ def should_scrub(context: Column, allowed: tuple[str, ...] = (), enabled: bool =
     return F.lit(enabled) & ((ctx == "") | ~ctx.isin(*allowed) if allowed else F.lit(enabled))
 
 
+def _step(reason: str, pattern: str, when: Column, replacement: str) -> Callable[[Column], Column]:
+    def run(x: Column) -> Column:
+        text, hit = x["text"], when & _possible(reason, x["text"]) & x["text"].rlike(pattern)
+        replaced = F.struct(F.regexp_replace(text, pattern, replacement).alias("text"), F.concat(x["reasons"], F.array(F.lit(reason))).alias("reasons"))
+        return F.when(hit, replaced).otherwise(x)  # only what matches is replaced
+
+    return run
+
+
 def scrub(df: DataFrame, column: str, when: Column | None = None, replacement: str = "[REDACTED]", reasons: tuple[str, ...] | None = None) -> DataFrame:
     """df with the column redacted, and <column>_reasons (in pattern order). A null text stays null."""
     when = F.lit(True) if when is None else when
-    text, found = F.col(column), []
     safe = replacement.replace("\\", "\\\\").replace("$", "\\$")
+    state = F.struct(F.col(column).alias("text"), F.array().cast("array<string>").alias("reasons"))
     for reason, pattern in PATTERNS:
         if reasons is None or reason in reasons:
-            name = f"__{reason}"
-            # each step reads what the one before left; only what matches is replaced
-            df = df.withColumn(name, text).withColumn(f"{name}_hit", when & _possible(reason, F.col(name)) & F.col(name).rlike(pattern))
-            found.append(F.when(F.col(f"{name}_hit"), F.lit(reason)))
-            text = F.when(F.col(f"{name}_hit"), F.regexp_replace(F.col(name), pattern, safe)).otherwise(F.col(name))
-    df = df.withColumns({f"{column}_reasons": F.array_compact(F.array(*found)), "__scrubbed": text})
-    return df.withColumn(column, F.col("__scrubbed")).drop("__scrubbed", *(f"__{r}{x}" for r, _ in PATTERNS for x in ("", "_hit")))
+            # each step reads what the one before left by a lambda's name: as columns over a constant text, the optimizer would put
+            # the steps into each other, four times each, 4^14 in all
+            state = F.transform(F.array(state), _step(reason, pattern, when, safe)).getItem(0)
+    df = df.withColumn("__scrubbed", state)
+    return df.withColumns({f"{column}_reasons": F.col("__scrubbed.reasons"), column: F.col("__scrubbed.text")}).drop("__scrubbed")
 
 
 def merge_tags(tags: Column, reasons: Column) -> Column:

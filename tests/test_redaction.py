@@ -26,3 +26,15 @@ def test_conditions_lose_nothing(spark, monkeypatch):
 def test_only_what_matches_is_replaced(spark):
     plan = pii.scrub(spark.createDataFrame([("a",)], "text string"), "text", reasons=("email",))._jdf.queryExecution().analyzed().toString()
     assert plan.count("RLIKE") == 1 and "Contains" in plan
+
+
+def test_a_constant_text_is_not_multiplied_by_the_optimizer(spark):
+    rows = spark.range(2).withColumn("text", F.lit("mail a@b.co from 10.0.0.1"))
+    some = ("email", "openai_key", "github_token", "aws_access_key")
+    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.ConstantFolding")
+    try:
+        plan = pii.scrub(rows, "text", reasons=some)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
+    assert plan.count("RLIKE") <= 2 * len(some)
+    assert [(r.text, r.text_reasons) for r in pii.scrub(rows, "text").collect()] == [("mail [REDACTED] from [REDACTED]", ["email", "ipv4"])] * 2
